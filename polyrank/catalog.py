@@ -1,0 +1,4 @@
+"""Queries and their SQL, by name."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
