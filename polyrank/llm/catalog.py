@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from .langid import op9_langid
 from .media import op10_media
 from .mixing import OP4_SQL, op4_mixing
 from .pieces import op6_pieces
+from .quality import op5_quality
+from .simhash import op2_simhash
 
 QUERIES = {
+    "op2_simhash": op2_simhash,
     "op4_mixing": op4_mixing,
+    "op5_quality": op5_quality,
     "op6_pieces": op6_pieces,
+    "op9_langid": op9_langid,
     "op10_media": op10_media,
 }
 ORACLE_SQL = {"op4_mixing": OP4_SQL}
