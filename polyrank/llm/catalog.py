@@ -8,8 +8,10 @@ from .mixing import OP4_SQL, op4_mixing
 from .pieces import op6_pieces
 from .quality import op5_quality
 from .simhash import op2_simhash
+from .substrings import op1_substrings
 
 QUERIES = {
+    "op1_substrings": op1_substrings,
     "op2_simhash": op2_simhash,
     "op4_mixing": op4_mixing,
     "op5_quality": op5_quality,
