@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .hmm import op3_hmm
 from .langid import op9_langid
 from .media import op10_media
 from .mixing import OP4_SQL, op4_mixing
@@ -13,6 +14,7 @@ from .substrings import op1_substrings
 QUERIES = {
     "op1_substrings": op1_substrings,
     "op2_simhash": op2_simhash,
+    "op3_hmm": op3_hmm,
     "op4_mixing": op4_mixing,
     "op5_quality": op5_quality,
     "op6_pieces": op6_pieces,
