@@ -5,6 +5,7 @@ from __future__ import annotations
 from .hmm import op3_hmm
 from .langid import op9_langid
 from .media import op10_media
+from .minhash import op8_minhash
 from .mixing import OP4_SQL, op4_mixing
 from .pieces import op6_pieces
 from .quality import op5_quality
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_quality": op5_quality,
     "op6_pieces": op6_pieces,
+    "op8_minhash": op8_minhash,
     "op9_langid": op9_langid,
     "op10_media": op10_media,
 }
