@@ -9,6 +9,7 @@ from .minhash import op8_minhash
 from .mixing import OP4_SQL, op4_mixing
 from .pieces import op6_pieces
 from .quality import op5_quality
+from .sharding import op7_sharding
 from .simhash import op2_simhash
 from .substrings import op1_substrings
 
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_quality": op5_quality,
     "op6_pieces": op6_pieces,
+    "op7_sharding": op7_sharding,
     "op8_minhash": op8_minhash,
     "op9_langid": op9_langid,
     "op10_media": op10_media,

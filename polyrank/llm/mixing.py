@@ -80,16 +80,18 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
 
     Documents of which nothing is taken go; those without words too. Columns as in ``docs``; ``n_chars`` follows a cut text.
     """
-    keyed = with_keys(docs)
+    whole = docs.select("doc_id", "text", "source", F.struct(*[c for c in docs.columns if c != "text"]).alias("_others"))
+    keyed = with_keys(whole)
     slim = keyed.select("source", "_size", "_range", "_key", "doc_id")
     plan = mix_plan(keyed, totals_of=slim, **options).where("taken > 0")
     copies = plan.withColumn("_left", F.explode(F.expr("transform(sequence(1, cast(ceil(taken / _size) as int)), i -> least(_size, taken - (i - 1) * _size))")))
     # A cut text: the longest prefix that holds _left words, white space as it stands.
-    head = F.when(F.col("_left") < F.col("_size"), F.expr("regexp_extract(text, concat('^(?:[\\\\x20\\\\x09-\\\\x0D]*[^\\\\x20\\\\x09-\\\\x0D]+){', cast(_left as string), '}'), 0)")).otherwise(F.col("text"))
-    out = copies.withColumn("text", head)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_left") < F.col("_size"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    cut = F.col("_left") < F.col("_size")
+    head = F.when(cut, F.expr("regexp_extract(text, concat('^(?:[\\\\x20\\\\x09-\\\\x0D]*[^\\\\x20\\\\x09-\\\\x0D]+){', cast(_left as string), '}'), 0)")).otherwise(F.col("text"))
+    out = {c: F.col("_others")[c] for c in docs.columns if c != "text"} | {"text": head}
+    if "n_chars" in out:
+        out["n_chars"] = F.when(cut, F.length(head).cast("long")).otherwise(out["n_chars"])
+    return copies.select(*[out[c].alias(c) for c in docs.columns])
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ import hashlib
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,6 +41,7 @@ class ChunkTable:
         if crossing:
             raise ValueError(f"pieces cross whitespace markers: {crossing[:3]}")
         self.rows: dict[str, tuple[str, int, str]] = {}
+        self.raw: dict[str, bytes] = {}
 
     def chunks(self, text: str) -> list[str]:
         """The marked text in chunks, with spaces for markers; none for an empty text."""
@@ -63,6 +65,23 @@ class ChunkTable:
             rows = [self.rows[c] for c in x]
             yield ",".join([r[0] for r in rows]), sum([r[1] for r in rows]), "".join([r[2] for r in rows])[1:]
 
+    def ids(self, texts: list[str]) -> pa.Array:
+        """The ids of texts just encoded, as lists."""
+        flat, ends = [], [0]
+        for t in texts:
+            own = np.frombuffer(b"".join([self._raw(c) for c in self.chunks(t)]), np.int32)
+            flat.append(own)
+            ends.append(ends[-1] + len(own))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat) if flat else np.empty(0, np.int32)))
+
+    def _raw(self, chunk: str) -> bytes:
+        got = self.raw.get(chunk)
+        if got is None:
+            if len(self.raw) >= self.size:
+                self.raw.clear()
+            got = self.raw[chunk] = np.array(self.rows[chunk][0].split(","), np.int32).tobytes()
+        return got
+
 
 def sha(x: str) -> str:
     return hashlib.sha256(x.encode()).hexdigest()
@@ -79,10 +98,11 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text: s
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ChunkTable(path)
         for b in byte_chunks(batches, 1, limit=1 << 20):
-            out = list(table.encode([x or "" for x in b.column(1).to_pylist()]))
+            texts = [x or "" for x in b.column(1).to_pylist()]
+            out = list(table.encode(texts))
             columns = {"doc_id": b.column(0), "n_tokens": pa.array([n for _, n, _ in out], pa.int64()), "ids_sha256": [sha(i) for i, _, _ in out], "decoded_sha256": [sha(d) for _, _, d in out]}
             if with_ids:
-                columns |= {"ids": pa.array([list(map(int, i.split(","))) if i else [] for i, _, _ in out], pa.list_(pa.int32())), "decoded": [d for _, _, d in out]}
+                columns |= {"ids": table.ids(texts), "decoded": [d for _, _, d in out]}
             yield pa.RecordBatch.from_pydict(columns)
 
     return docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text}` as text").mapInArrow(run, schema)
