@@ -112,6 +112,7 @@ def with_edits(docs: DataFrame) -> DataFrame:
     need = need.select(F.col("doc_id").alias("_for"), F.col("next_id").alias("doc_id"), "_half")
     heads = base.join(need, "doc_id").select(F.col("_for").alias("doc_id"), F.col("doc_id").alias("next_id"), F.expr("left(text, _half)").alias("_head"))
     heads = heads.groupBy("doc_id", "next_id").agg(F.min("_head").alias("_head"))
+    heads = written(heads, "heads")  # frees what its joins have shuffled
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     out = base.join(heads, "doc_id", "left")
