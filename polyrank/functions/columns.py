@@ -119,8 +119,9 @@ def hash_draw(replicate: Column | str, i: Column | str, n: Column | str) -> Colu
 
 
 def wilson(k: Column | str, n: Column | str, z: float = 1.959963984540054) -> tuple[Column, Column]:
-    """The Wilson interval of k of n."""
-    p, n = _c(k) / _c(n), _c(n)
+    """The Wilson interval of k of n; null if n is 0."""
+    n = F.nullif(_c(n), F.lit(0))
+    p = _c(k) / n
     mid = (p + F.lit(z * z) / (2 * n)) / (1 + F.lit(z * z) / n)
     half = F.lit(z) * F.sqrt(p * (1 - p) / n + F.lit(z * z) / (4 * n * n)) / (1 + F.lit(z * z) / n)
     return mid - half, mid + half

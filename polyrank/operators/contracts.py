@@ -48,7 +48,7 @@ def missingness(df: DataFrame, columns: list[str], limit: float) -> DataFrame:
     """(feature, missing, fraction, ok) for each column, from one pass."""
     one = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
     rows = one.select("_n", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("missing")) for c in columns])).alias("x"))
-    return rows.select("x.feature", "x.missing", (F.col("x.missing") / F.col("_n")).alias("fraction"), (F.col("x.missing") / F.col("_n") <= limit).alias("ok"))
+    return rows.select("x.feature", "x.missing", F.try_divide("x.missing", "_n").alias("fraction"), F.coalesce(F.try_divide("x.missing", "_n") <= limit, F.lit(True)).alias("ok"))
 
 
 def two_classes(df: DataFrame, label: str, by: list[str] | None = None) -> DataFrame:

@@ -24,8 +24,10 @@ def spearman(df: DataFrame, x: str, y: str, by=None) -> DataFrame:
         d = d.withColumn("_all", F.lit(1))
     p = keys or ["_all"]
     d = d.withColumns({"_rx": avg_rank(x, p), "_ry": avg_rank(y, p)})
+    # corr() fails on a constant side in ANSI mode
+    rho = F.try_divide(F.covar_pop("_rx", "_ry"), F.stddev_pop("_rx") * F.stddev_pop("_ry"))
     varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y)) & (F.count(F.lit(1)) >= 3)
-    return d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.when(varies, F.corr("_rx", "_ry")).alias("rho"))
+    return d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.when(varies, rho).alias("rho"))
 
 
 def roc_auc(df: DataFrame, label: str, score: str, by=None) -> DataFrame:
