@@ -5,10 +5,11 @@ are one class, represented by its smallest doc_id, so copies make no pairs. Reta
 classes. Two sets that are similar enough share at least LEAST of K values but for a chance of about 1e-5 (all the
 more of a small whole set), so each class stands only in the lists of its ``size - needed + 1`` rarest values: a
 passage that many documents share is dropped where they have values of their own. Lists of up to SMALL classes
-give all pairs; a longer one compares its classes with the one whose values are most common, and only classes
-that are in different components after that are paired in a second round. The share of common values among the K
-smallest of the union estimates a pair's similarity and filters; the full sets confirm it exactly. Components
-come from label propagation with pointer jumping over written tables.
+give all pairs; a longer one compares its classes with its hub, the one whose values are most common. The share of
+common values among the K smallest of the union estimates a pair's similarity and filters; the full sets confirm
+it exactly. What is not in its hub's component after that is compared with all that share the hub, in blocks of
+BLOCK by BLOCK full sets, each a product of matrices in a task of its own; only links between components come out.
+Components come from label propagation with pointer jumping over written tables.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import byte_chunks, documents, texts_as_bytes, written
 
 WORDS, K, LEAST, SMALL = 5, 32, 13, 24
+#: Sets on each side of a block.
+BLOCK = 128
 #: Similarity of 75 % or more links.
 PERCENT = 75
 #: Pairs whose estimate is below are not confirmed; LEAST / K.
@@ -99,17 +102,64 @@ def pairs_in_lists(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
     short = lists.join(heads.where(F.col("m") <= SMALL).select("v"), "v").groupBy("v").agg(F.array_sort(F.collect_list(F.struct("node", "n"))).alias("xs"))
     left = short.select("xs", F.posexplode("xs").alias("i", "x"))
     both = left.select(F.col("x.node").alias("a"), F.explode(F.filter(F.slice("xs", F.col("i") + 2, F.size("xs")), lambda y: (y["node"] != F.col("x.node")) & alike_in_size(y["n"], F.col("x.n")))["node"]).alias("b"))
-    return star.unionByName(both).distinct(), long.select("v", "node", "n")
+    groups = long.select("hub", "node").unionByName(long.select("hub", F.col("hub").alias("node"))).distinct()
+    return star.unionByName(both).distinct(), written(groups, "hub-groups")
 
 
-def cross_pairs(long: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of classes that share a long list and stand in different components."""
-    named = long.join(labels, "node", "left").select("v", "node", "n", F.coalesce("comp", "node").alias("comp"))
-    split = named.groupBy("v").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("v")
-    named = written(named.join(split, "v"), "long-lists")
-    other = named.withColumnsRenamed({"node": "b", "n": "bn", "comp": "bcomp"})
-    both = named.join(other, "v").where((F.col("node") < F.col("b")) & (F.col("comp") != F.col("bcomp")) & alike_in_size(F.col("n"), F.col("bn")))
-    return both.select(F.col("node").alias("a"), "b").distinct()
+def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, s): the whole sets of the documents in wanted (doc_id)."""
+
+    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in byte_chunks(batches, 1):
+            yield pa.RecordBatch.from_pydict({"node": b.column(0), "s": pa.array([s.tobytes() for s in shingle_sets(texts_as_bytes(b.column(1)))], pa.binary())})
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
+    return written(texts.mapInArrow(sets, "node long, s binary"), "sets")
+
+
+def similar_in_block(table: pa.Table) -> pa.Table:
+    """Links (a, b) between components among the sets of a block: rows of side 0 against those of side 1, one for each component that a row reaches."""
+    side = np.array(table.column("side").to_pylist())
+    node, comp = np.array(table.column("node").to_pylist(), np.int64), np.array(table.column("comp").to_pylist(), np.int64)
+    sets = [np.frombuffer(s, np.int64) for s in table.column("s").to_pylist()]
+    x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    out: dict[tuple[int, int], tuple[int, int]] = {}
+    if len(x) and len(y):
+        sizes = np.array([len(s) for s in sets])
+        values, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = np.flatnonzero(count > 1)  # a value of one set adds to no intersection
+        number = np.full(len(values), -1)
+        number[shared] = np.arange(len(shared))
+        column, row = number[at], np.repeat(np.arange(len(sets)), sizes)
+        both = np.zeros((len(x), len(y)), np.int64)
+        for c in range(0, len(shared), 4096):
+            here = (column >= c) & (column < c + 4096)
+            m = np.zeros((len(sets), min(4096, len(shared) - c)), np.float32)
+            m[row[here], column[here] - c] = 1
+            both += (m[x] @ m[y].T).astype(np.int64)
+        union = sizes[x][:, None] + sizes[y][None] - both
+        hit = (100 * both >= PERCENT * union) & (both > 0) & (comp[x][:, None] != comp[y][None])
+        for i, j in zip(*np.nonzero(hit), strict=True):
+            a, b = int(node[x[i]]), int(node[y[j]])
+            out.setdefault((a, int(comp[y[j]])), (min(a, b), max(a, b)))
+    found = sorted(set(out.values()))
+    return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+
+def links_in_hub_groups(groups: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between the components within each hub's group: what isn't in the hub's component, against the whole group."""
+    named = groups.join(labels, "node", "left").select("hub", "node", F.coalesce("comp", "node").alias("comp"))
+    named = written(named, "hub-components")
+    home = named.where("node = hub").select("hub", F.col("comp").alias("home"))
+    counts = named.join(home, "hub").groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nj"), F.ceil(F.count_if(F.col("comp") != F.col("home")) / BLOCK).cast("int").alias("ni"), F.max("home").alias("home")).where("ni > 0")
+    counts = written(counts, "hub-counts")
+    rows = named.join(counts, "hub")
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    away = rows.where("comp <> home").select("hub", "node", "comp", F.lit(0).alias("side"), block("ni").alias("i"), upto("nj").alias("j"))
+    all_ = rows.select("hub", "node", "comp", F.lit(1).alias("side"), upto("ni").alias("i"), block("nj").alias("j"))
+    blocks = away.unionByName(all_).join(sets, "node")
+    return blocks.groupBy("hub", "i", "j").applyInArrow(similar_in_block, "a long, b long")
 
 
 def estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -121,13 +171,8 @@ def estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.where(common >= ESTIMATE * F.size(union)).select("a", "b").distinct()
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose full sets are similar."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-
-    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in byte_chunks(batches, 1):
-            yield pa.RecordBatch.from_pydict({"node": b.column(0), "s": pa.array([s.tobytes() for s in shingle_sets(texts_as_bytes(b.column(1)))], pa.binary())})
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -138,9 +183,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
-    s = written(texts.mapInArrow(sets, "node long, s binary"), "sets")
-    both = pairs.join(s.withColumnsRenamed({"node": "a", "s": "sa"}), "a").join(s.withColumnsRenamed({"node": "b", "s": "sb"}), "b")
+    both = pairs.join(sets.withColumnsRenamed({"node": "a", "s": "sa"}), "a").join(sets.withColumnsRenamed({"node": "b", "s": "sb"}), "b")
     return written(both.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long").distinct(), "links")
 
 
@@ -168,15 +211,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = written(sketches(docs), "sketches")
     best = rows.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min(F.struct(F.col("doc_id").alias("node"), "n", "sketch")).alias("m"))
     nodes = written(best.select("h1", "h2", "m.*"), "classes")
-    first, long = pairs_in_lists(inverted_lists(nodes))
-    checked = written(estimated(first, nodes), "pairs")
-    links = confirmed(checked, docs)
+    first, groups = pairs_in_lists(inverted_lists(nodes))
+    pairs = written(estimated(first, nodes), "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(groups.select(F.col("node").alias("doc_id"))).distinct()
+    sets = full_sets(docs, wanted)
+    links = confirmed(pairs, sets)
     labels = components(links)
-    more = written(estimated(cross_pairs(long, labels).join(checked, ["a", "b"], "left_anti"), nodes), "more-pairs")
+    more = written(links_in_hub_groups(groups, labels, sets), "more-links")
     if more.limit(1).count():
-        more_links = confirmed(more, docs)
-        if more_links.limit(1).count():
-            labels = components(links.unionByName(more_links))
+        labels = components(links.unionByName(more).distinct())
     names = written(nodes.select("h1", "h2", "node").join(labels, "node", "left").select("h1", "h2", F.coalesce("comp", "node").alias("component")), "components")
     named = rows.select("doc_id", "n", "h1", "h2").join(names, ["h1", "h2"], "left")
     component = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))).otherwise(F.col("doc_id"))
