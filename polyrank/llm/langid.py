@@ -19,6 +19,8 @@ from .common import byte_chunks, documents
 
 #: Most labelled documents, and windows of each, that the network is trained on.
 SAMPLE, WINDOWS_OF_EACH = 3_000, 6
+#: Parts into which hashes are cut to draw it.
+FINE = 10**15
 WINDOW, EMBED, FILTERS, WIDTHS = 128, 6, 12, (2, 3, 4)
 FOLD, HELD = 4, 2
 UNKNOWN = "und"
@@ -132,7 +134,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> ByteNet:
     used = used.where(F.coalesce(F.crc32(F.col("k").cast("binary")) % FOLD != HELD, F.lit(True)))
     n = docs.where("lang is not null").count()
     share = min(1.0, sample / max(1, n))
-    used = used.where(F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < int(1_000_000 * share) + 1)
+    used = used.where(F.pmod(F.xxhash64("k"), F.lit(FINE)) < int(FINE * share))
     parts = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS_OF_EACH - 1)), lambda i: F.substring(F.col("text"), (i * F.greatest(F.lit(0), F.length("text") - WINDOW) / F.lit(WINDOWS_OF_EACH - 1) + 1).cast("int"), F.lit(WINDOW)))
     rows = sorted(used.select("k", "lang", F.array_distinct(parts).alias("parts")).limit(2 * sample).collect(), key=lambda r: (r["k"] or "", r["lang"], r["parts"]))
     net = ByteNet(sorted({r["lang"] for r in rows}))

@@ -20,6 +20,8 @@ from .common import byte_chunks, documents, texts_as_bytes, written
 
 #: Most labelled rows that the model is fitted on (those with the smallest hash of their id).
 SAMPLE = 20_000
+#: Parts into which hashes are cut to draw it.
+FINE = 10**15
 THRESHOLD = 0.3
 FEATURES = ("log_bytes", "upper", "lower", "digit", "space", "bang", "pipe", "symbol", "sentence", "non_ascii", "control", "word_length", "distinct_words", "repeats", "line_length", "repeated_lines", "punctuated_words", "title_words")
 
@@ -172,7 +174,7 @@ def training_rows(x: DataFrame, labels: DataFrame, fold: int = 5, sample: int =
     """Features and labels of at most ``sample`` labelled rows outside the held-out fold."""
     used = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where(F.col("y").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % fold != 0))
     n = used.count()
-    used = used.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / max(1, n))))
+    used = used.where(F.pmod(F.xxhash64("doc_id"), F.lit(FINE)) < int(FINE * min(1.0, sample / max(1, n))))
     rows = x.join(used, "doc_id").orderBy(F.xxhash64("doc_id"), "y").limit(sample + sample // 10).collect()
     return np.array([r["x"] for r in rows], float).reshape(-1, len(FEATURES)), np.array([r["y"] for r in rows], float)
 
