@@ -125,7 +125,7 @@ def answer_keys(table: pa.Table) -> pa.Table:
 
 
 def send_runs(table: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
-    """Step 2 in a block. Rows of bucket -1 have the repeats found within the block."""
+    """Step 2 in a block. Rows of kind 2 have the repeats found within the block, which a bucket passes on."""
     if not table.num_rows:
         return RUNS.empty_table()
     blk = table.column("blk")[0].as_py()
@@ -172,7 +172,7 @@ def send_runs(table: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
         rows.append((blk, p, 1, len(at), hashes[at].tobytes(), pack(doc_ids[d]), pack(d), pack(np.array([single[i][2] for i in at.tolist()], np.int32)), b"", 0, b""))
     if repeats:
         d, a, b = (np.array(x, np.int32) for x in merged(repeats))
-        rows.append((blk, -1, 2, len(d), b"", b"", pack(d), pack(a), pack(b), 0, b""))
+        rows.append((blk, blk % buckets, 2, len(d), b"", b"", pack(d), pack(a), pack(b), 0, b""))
     return pa.Table.from_pylist([dict(zip(RUNS.names, r, strict=True)) for r in rows], RUNS)
 
 
@@ -239,6 +239,9 @@ def find_repeats(table: pa.Table) -> pa.Table:
     out: dict[int, list[tuple[int, int, int]]] = {}
     runs_, windows = [], []
     for i, (kind, n, blk) in enumerate(zip(col["kind"], col["n"], col["blk"], strict=True)):
+        if kind == 2:
+            out.setdefault(blk, []).extend(zip(*(unpack(col[c][i], n, np.int32).tolist() for c in ("docs", "starts", "ends")), strict=True))
+            continue
         keys = np.frombuffer(col["keys"][i], np.uint64).reshape(n, -1)
         ids, d, a = unpack(col["ids"][i], n, np.int64), unpack(col["docs"][i], n, np.int32), unpack(col["starts"][i], n, np.int32)
         if kind == 0:
@@ -342,10 +345,8 @@ def find_stretches(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     keys = slim.groupBy("blk").applyInArrow(lambda t: send_keys(t, buckets), _ddl(KEYS))
     flags = written(keys.groupBy("p").applyInArrow(answer_keys, _ddl(FLAGS)), "key-flags")
     sent = slim.groupBy("blk").cogroup(flags.groupBy("blk")).applyInArrow(lambda t, f: send_runs(t, f, buckets), _ddl(RUNS))
-    sent = written(sent, "runs")
-    own = sent.where("p < 0").select(*STRETCHES.names)
-    found = sent.where("p >= 0").groupBy("p").applyInArrow(find_repeats, _ddl(STRETCHES))
-    return dealt, written(found.unionByName(own), "stretches")
+    found = sent.groupBy("p").applyInArrow(find_repeats, _ddl(STRETCHES))
+    return dealt, written(found, "stretches")
 
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
