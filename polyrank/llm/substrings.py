@@ -32,7 +32,7 @@ from .common import documents, n_rows_bytes, written
 from .gsaca import _flat, suffix_arrays
 
 LENGTH, GRAM = 100, 24
-HOT = 256
+HOT = 64
 BLOCK_BYTES, BUCKET_BYTES, MOST_BUCKETS = 8 << 20, 4 << 20, 65_536
 #: Symbols in the texts of one call of ``suffix_arrays``.
 BATCH = 1_500_000
