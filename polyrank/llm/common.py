@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -46,9 +47,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let the driver notice which shuffles no frame needs any more, so that executors delete their files."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let the driver notice which shuffles no frame needs any more, so that executors delete their files.
+
+    Twice: what Python has let go reaches the JVM with a later call only.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def drop_written(spark: SparkSession) -> None:
