@@ -113,7 +113,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for b in byte_chunks(batches, 1):
             yield pa.RecordBatch.from_pydict({"node": b.column(0), "s": pa.array([s.tobytes() for s in shingle_sets(texts_as_bytes(b.column(1)))], pa.binary())})
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.hint("merge"), "doc_id")  # wanted grows with the data: one plan at every size
     return written(texts.mapInArrow(sets, "node long, s binary"), "sets")
 
 

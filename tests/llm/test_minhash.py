@@ -58,8 +58,9 @@ def test_equal_to_brute_force(spark, tmp_path):
         assert all(r.kept == (r.doc_id == r.component_id) for r in got) and sum(not r.kept for r in got) > 10
 
 
-def test_large_families_equal_brute_force(spark, tmp_path):
-    """Families above SMALL, among them one whose members are close to their base only."""
+def test_large_families_equal_brute_force(spark, tmp_path, monkeypatch):
+    """Families above SMALL, in several blocks, among them one whose members are close to their base only."""
+    monkeypatch.setattr(minhash, "BLOCK", 16)
     rng = random.Random(9)
     rows = []
     for size, changes in ((80, 2), (60, 6), (70, 7)):
