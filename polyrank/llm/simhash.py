@@ -75,7 +75,8 @@ def near_fingerprints(queries: DataFrame, all_: DataFrame, radius: int = RADIUS,
         keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(masks)])
         return df.select("fp").where("fp is not null").distinct().select(F.col("fp").alias(name), F.explode(keys).alias("_k")).select(name, F.col("_k.t").alias("_t"), F.col("_k.k").alias("_key"))
 
-    both = tables(queries, "q").join(tables(all_, "fp"), ["_t", "_key"])
+    # both sides grow with the data, though the planner takes the exploded one for small: neither is broadcast
+    both = tables(queries, "q").hint("merge").join(tables(all_, "fp").hint("merge"), ["_t", "_key"])
     x = F.col("q").bitwiseXOR(F.col("fp"))
     first = F.coalesce(*[F.when(x.bitwiseAND(F.lit(m)) == 0, F.lit(t)) for t, m in enumerate(masks)])
     return both.where((F.bit_count(x) <= radius) & (F.col("_t") == first)).select("q", "fp", F.bit_count(x).alias("distance"))
