@@ -85,9 +85,11 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     slim = keyed.select("source", "_size", "_range", "_key", "doc_id")
     plan = mix_plan(keyed, totals_of=slim, **options).where("taken > 0")
     copies = plan.withColumn("_left", F.explode(F.expr("transform(sequence(1, cast(ceil(taken / _size) as int)), i -> least(_size, taken - (i - 1) * _size))")))
-    # A cut text: the longest prefix that holds _left words, white space as it stands.
+    # A cut text: the longest prefix that holds _left words, white space as it stands. Word by word: a counted
+    # repetition in one pattern would recurse as deep as the text has words.
     cut = F.col("_left") < F.col("_size")
-    head = F.when(cut, F.expr("regexp_extract(text, concat('^(?:[\\\\x20\\\\x09-\\\\x0D]*[^\\\\x20\\\\x09-\\\\x0D]+){', cast(_left as string), '}'), 0)")).otherwise(F.col("text"))
+    parts = F.regexp_extract_all(F.col("text"), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
+    head = F.when(cut, F.array_join(F.slice(parts, F.lit(1), F.col("_left").cast("int")), "")).otherwise(F.col("text"))
     out = {c: F.col("_others")[c] for c in docs.columns if c != "text"} | {"text": head}
     if "n_chars" in out:
         out["n_chars"] = F.when(cut, F.length(head).cast("long")).otherwise(out["n_chars"])

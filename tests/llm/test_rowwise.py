@@ -80,3 +80,14 @@ def test_mixed_documents_hold_what_is_taken(spark):
     for r in mixing.mix_documents(df).collect():
         got[r.doc_id] = got.get(r.doc_id, 0) + len((r.text or "").encode().split())
     assert got == {k: v for k, v in plan.items() if v}
+
+
+def test_a_budget_that_ends_deep_in_a_long_text(spark):
+    long = " \n".join(f"w{i}" for i in range(60_000))
+    df = spark.createDataFrame([(1, long, "en", "a", len(long)), (2, long, "en", "b", len(long))], "doc_id long, text string, lang string, source string, n_chars long")
+    plan = {r.doc_id: r.taken for r in mixing.mix_plan(mixing.with_keys(df)).collect()}
+    got = {}
+    for r in mixing.mix_documents(df).collect():
+        assert long.startswith(r.text) and r.n_chars == len(r.text)
+        got[r.doc_id] = got.get(r.doc_id, 0) + len(r.text.split())
+    assert got == plan and any(v % 60_000 for v in plan.values())
