@@ -147,6 +147,12 @@ def overlap_audit(spark, sf):
     return o.select("level", F.md5(F.col("value").cast("binary")).alias("value_md5"), "n_a", "n_b", "ids_a", "ids_b")
 
 
+@query(with_(LONG + ", sh AS (SELECT DISTINCT level, value FROM la INTERSECT SELECT level, value FROM lb)", "SELECT DISTINCT level, md5(value) AS value_md5, CASE doc_id % 2 WHEN 0 THEN 'a' ELSE 'b' END AS side, doc_id::VARCHAR AS id FROM lv SEMI JOIN sh USING (level, value)"))
+def overlap_ids(spark, sf):
+    o = sets.overlap_ids(_levels(spark, sf, 0), _levels(spark, sf, 1))
+    return o.select("level", F.md5(F.col("value").cast("binary")).alias("value_md5"), "side", "id")
+
+
 @query(with_(LONG + ", n AS (SELECT a.level, count(DISTINCT a.value) AS n FROM la a SEMI JOIN lb b ON a.level = b.level AND a.value = b.value GROUP BY a.level)", "SELECT coalesce(sum(n) FILTER (level IN ('text', 'folded')), 0)::BIGINT AS strict_overlaps, coalesce(sum(n) FILTER (level IN ('text', 'folded')), 0) = 0 AS passed FROM n"))
 def overlap_gate(spark, sf):
     return sets.overlap_gate(sets.overlap_counts(_levels(spark, sf, 0), _levels(spark, sf, 1), list(LEVELS)), ["text", "folded"])

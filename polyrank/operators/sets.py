@@ -37,16 +37,27 @@ def levels_long(df: DataFrame, key: str, levels: dict) -> DataFrame:
     return df.select(F.col(key).cast("string").alias("key"), F.explode(rows).alias("x")).select("key", "x.level", "x.value").where("value is not null")
 
 
-def overlap_audit(a: DataFrame, b: DataFrame, most: int = 100) -> DataFrame:
+def _shared(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.select("level", "value").distinct().join(b.select("level", "value").distinct(), ["level", "value"])
+
+
+def overlap_audit(a: DataFrame, b: DataFrame) -> DataFrame:
     """(level, value, n_a, n_b, ids_a, ids_b) for identities that occur on both sides of two ``levels_long`` tables.
 
-    Ids are listed up to ``most`` for each value; the counts are whole.
+    All ids are listed, so that a row grows with its value's group; ``overlap_ids`` has them in rows of their own.
     """
-    side = lambda df, s: df.groupBy("level", "value").agg(F.count_distinct("key").alias(f"n_{s}"), F.array_join(F.slice(F.array_sort(F.collect_set("key")), 1, most), ";").alias(f"ids_{s}"))
-    shared = a.select("level", "value").distinct().join(b.select("level", "value").distinct(), ["level", "value"])
+    side = lambda df, s: df.groupBy("level", "value").agg(F.count_distinct("key").alias(f"n_{s}"), F.array_join(F.array_sort(F.collect_set("key")), ";").alias(f"ids_{s}"))
+    shared = _shared(a, b)
     return side(a.join(shared, ["level", "value"]), "a").join(side(b.join(shared, ["level", "value"]), "b"), ["level", "value"])
 
 
+def overlap_ids(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(level, value, side, id): one row for each id, on side a or b, of an identity that occurs on both; no row grows with its group."""
+    shared = _shared(a, b)
+    side = lambda df, s: df.join(shared, ["level", "value"]).select("level", "value", F.lit(s).alias("side"), F.col("key").alias("id")).distinct()
+    return side(a, "a").unionByName(side(b, "b"))
+
+
 def overlap_counts(a: DataFrame, b: DataFrame, levels: list[str]) -> DataFrame:
     """(level, overlaps): how many identities both sides share at each level, 0 too."""
     names = a.sparkSession.createDataFrame([(x,) for x in levels], "level string")

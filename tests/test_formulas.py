@@ -315,3 +315,16 @@ def test_results_do_not_depend_on_partitions(spark):
         got.append(sorted(map(str, selectors.combo(d.repartition(int(n)), ["score", "other"], "g", ["id"]).collect())))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert got[0] == got[1]
+
+
+def test_overlap_audit_lists_all_ids(spark):
+    """A value that more than 100 ids of each side share loses none of them."""
+    from polyrank.operators import sets
+
+    a = sets.levels_long(spark.range(0, 500, 2).withColumn("t", F.lit("x")), "id", {"text": F.col("t")})
+    b = sets.levels_long(spark.range(1, 301, 2).withColumn("t", F.lit("x")).union(spark.range(901, 902).withColumn("t", F.lit("alone"))), "id", {"text": F.col("t")})
+    got = sets.overlap_audit(a, b).collect()
+    want = {"a": sorted(map(str, range(0, 500, 2))), "b": sorted(map(str, range(1, 301, 2)))}
+    assert [(r.value, r.n_a, r.n_b, r.ids_a, r.ids_b) for r in got] == [("x", 250, 150, ";".join(want["a"]), ";".join(want["b"]))]
+    rows = sets.overlap_ids(a, b.union(b)).collect()
+    assert {s: sorted(r.id for r in rows if r.side == s) for s in "ab"} == want and len(rows) == 400
