@@ -65,6 +65,15 @@ def drop_written(spark: SparkSession) -> None:
         _WRITTEN.remove((s, path))
 
 
+def drop_table(df: DataFrame) -> None:
+    """Delete one table of ``written`` that nothing reads any more."""
+    name = df.inputFiles()[0].rsplit("/", 2)[1]
+    for s, path in [x for x in _WRITTEN if x[1].endswith(f"/{name}")]:
+        p = s.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(s.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _WRITTEN.remove((s, path))
+
+
 @atexit.register
 def _forget() -> None:
     _WRITTEN.clear()

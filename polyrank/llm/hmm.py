@@ -1,15 +1,21 @@
-"""LM scoring: a hidden Markov model over word classes.
+"""LM scoring: a hidden Markov model over words.
 
 Words are counted exactly over all training documents without a shuffle of words one by one: documents are
 cut into blocks of about 8 MB, each sends its distinct words' hashes with their counts to buckets (a packed row
-for each block and bucket), and each bucket sends back the totals. A word that makes up at least 1 / FREQUENT of
-the training tokens is a class of its own (so there are at most FREQUENT of them); all others share SUFFIXES
-classes by their last two bytes. Within a class, a word's share is (c + 1) / (all of the class's c + 1, and 1 for
-words never seen), so that a text's probability is the class sequence's under the model times its words' shares.
-
-Baum-Welch: each task runs the scaled forward and backward recursions over its texts, all texts of a batch step
-by step together, and sends expected counts, one row for each class; Spark adds them up, and the driver, which
-holds nothing but the parameters, makes the next ones. Scores are from the scaled forward recursion in double precision.
+for each block and bucket), and each bucket sends back the totals.
+
+Every word has emissions of its own. They are never gathered in one place: a word's expected counts by state
+belong to its bucket. In a round of Baum-Welch each bucket adds up what the blocks expect of its words and answers
+each block with its words' sums (64-bit counts of 1 / UNIT, so that they don't depend on the order of adding); each block runs the scaled forward and backward recursions over its texts, all
+texts of a batch step by step together, and sends the new expected counts of its words. The driver holds the steps
+between states and each state's total. A state's emission of a word is (e + 1 / states) / (all of the state's
+e + 1 / states, and 1 / states for words never seen), so that one state alone gives the base score.
+Rounds go on until the training texts' log10 likelihood a token gains less than ``GAIN``.
+Scores are from the scaled forward recursion in double precision.
+
+``class_sequences`` and ``baum_welch`` are the smaller model over word classes that the driver can hold: a word that
+makes up at least 1 / FREQUENT of the training tokens is a class of its own, all others share SUFFIXES classes by
+their last two bytes. The query does not use them.
 """
 
 from __future__ import annotations
@@ -26,11 +32,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, n_rows_bytes, written
+from .common import documents, drop_table, n_rows_bytes, written
 
 FOLD, HELD = 7, 2
 FREQUENT, SUFFIXES = 6_000, 1_024
 STATES, ROUNDS, SEED = 8, 4, 11
+#: Expected counts are summed in whole parts of 1 / UNIT.
+UNIT = 1 << 16
+#: Training ends with the first round that gains less than this in log10 likelihood a token.
+GAIN = 1e-3
 #: Pseudo-tokens of the class distribution in each state's emissions, and pseudo-steps in its transitions.
 SMOOTH, STAY = 200.0, 5.0
 BLOCK_BYTES, BUCKET_BYTES, MOST_BUCKETS = 8 << 20, 8 << 20, 65_536
@@ -63,7 +73,7 @@ BLOCKS = pa.schema([("kind", _I), ("blk", _L), ("p", _L), ("doc_id", _L), ("n",
 #: kind 0: what a bucket answers a block. kind 1: a bucket's sums: n tokens, known words, extra: frequent words' hashes. kind 2: data: sums of c + 1 by code.
 ANSWERS = pa.schema([("kind", _I), ("blk", _L), ("p", _L), ("n", _I), ("known", _L), ("tokens", _L), ("data", _B), ("extra", _B)])
 CLASSES = pa.schema([("doc_id", _L), ("n_tokens", _L), ("n_known", _L), ("base_score", pa.float64()), ("share_score", pa.float64()), ("classes", _B)])
-_WORD = np.dtype([("count", np.int32), ("code", np.uint16), ("at", np.int32)])
+_WORD = np.dtype([("count", np.int64), ("code", np.uint16), ("at", np.int32)])
 
 
 def _ddl(schema: pa.Schema) -> str:
@@ -75,23 +85,26 @@ def suffix_code(word: bytes) -> int:
 
 
 def encode_block(table: pa.Table, buckets: int) -> pa.Table:
-    """A block's documents as local word numbers, and its words for each bucket."""
-    blk, number = table.column("blk")[0].as_py(), {}
-    rows, counts = [], []
-    for doc_id, raw in zip(table.column("doc_id").to_pylist(), table.column("raw").to_pylist(), strict=True):
-        at = np.array([number.setdefault(t, len(number)) for t in tokens(raw or b"")], np.int32)
-        rows.append((0, blk, -1, doc_id, len(at), pack(at), b""))
-        if not held_out(doc_id):
-            counts.append(at)
-    count = np.bincount(np.concatenate(counts) if counts else np.empty(0, np.int32), minlength=len(number))
-    words = np.zeros(len(number), _WORD)
-    words["count"], words["at"] = count, np.arange(len(number))
-    words["code"] = [suffix_code(w) for w in number]
+    """A block's documents as local word numbers, and its words for each bucket; numbers go by bucket."""
+    blk, number, texts = table.column("blk")[0].as_py(), {}, []
+    doc_ids = table.column("doc_id").to_pylist()
+    for raw in table.column("raw").to_pylist():
+        texts.append(np.array([number.setdefault(t, len(number)) for t in tokens(raw or b"")], np.int32))
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number))
     p = (hashes % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(p, kind="stable")
-    for part in np.split(order, np.flatnonzero(np.diff(p[order])) + 1):
-        rows.append((1, blk, int(p[part[0]]), None, len(part), hashes[part].tobytes(), pack(words[part])))
+    place = np.empty(len(number), np.int32)
+    place[order] = np.arange(len(number))
+    texts = [place[at] for at in texts]
+    rows = [(0, blk, -1, doc_id, len(at), pack(at), b"") for doc_id, at in zip(doc_ids, texts, strict=True)]
+    counts = [at for doc_id, at in zip(doc_ids, texts, strict=True) if not held_out(doc_id)]
+    words = np.zeros(len(number), _WORD)
+    words["count"] = np.bincount(np.concatenate(counts) if counts else np.empty(0, np.int32), minlength=len(number))
+    words["at"] = np.arange(len(number))
+    words["code"] = np.array([suffix_code(w) for w in number])[order]
+    hashes, p = hashes[order], p[order]
+    for own in np.split(np.arange(len(number)), np.flatnonzero(np.diff(p)) + 1):
+        rows.append((1, blk, int(p[own[0]]), None, len(own), hashes[own].tobytes(), pack(words[own])))
     return pa.Table.from_pylist([dict(zip(BLOCKS.names, r, strict=True)) for r in rows], BLOCKS)
 
 
@@ -105,7 +118,7 @@ def answer(table: pa.Table, frequent_from: float) -> pa.Table:
     frequent = total >= frequent_from
     p, rows, start = table.column("p")[0].as_py(), [], 0
     out = words.copy()
-    out["count"] = np.minimum(total[inverse], np.iinfo(np.int32).max)
+    out["count"] = total[inverse]
     for blk, k in zip(table.column("blk").to_pylist(), n, strict=True):
         own = slice(start, start + k)
         top = np.flatnonzero(frequent[inverse[own]])
@@ -263,13 +276,18 @@ def baum_welch(seqs: DataFrame, masses: np.ndarray, rounds: int = ROUNDS, states
     return hmm
 
 
-def class_sequences(docs: DataFrame) -> tuple[DataFrame, Vocabulary]:
-    """One row per row of docs (see CLASSES), and the vocabulary of those not held out."""
+def encoded_blocks(docs: DataFrame) -> DataFrame:
+    """Rows of BLOCKS, written."""
     _, total = n_rows_bytes(docs)
     blocks, buckets = max(1, -(-total // BLOCK_BYTES)), max(1, min(MOST_BUCKETS, -(-total // BUCKET_BYTES)))
     raw = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
     dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("blk"), F.col("doc_id").cast("long").alias("doc_id"), raw.alias("raw"))
-    encoded = written(dealt.groupBy("blk").applyInArrow(lambda t: encode_block(t, buckets), _ddl(BLOCKS)), "encoded")
+    return written(dealt.groupBy("blk").applyInArrow(lambda t: encode_block(t, buckets), _ddl(BLOCKS)), "encoded")
+
+
+def class_sequences(docs: DataFrame) -> tuple[DataFrame, Vocabulary]:
+    """One row per row of docs (see CLASSES), and the vocabulary of those not held out."""
+    encoded = encoded_blocks(docs)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLD == HELD, F.lit(False))
     n_tokens = encoded.where("kind = 0").where(~held).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     least = max(2.0, n_tokens / FREQUENT)
@@ -291,26 +309,175 @@ def class_sequences(docs: DataFrame) -> tuple[DataFrame, Vocabulary]:
     return written(blocks_.cogroup(own).applyInArrow(lambda d, a: class_block(d, a, v), _ddl(CLASSES)), "classes"), v
 
 
-def score(seqs: DataFrame, hmm: Hmm) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score and score (log10) of each sequence."""
+#: A block's words of a bucket (n words, ids: their numbers in the bucket, data: sums by word and state in 1 / UNIT). p -1: sums of a block or bucket as doubles.
+SUMS = pa.schema([("blk", _L), ("p", _L), ("n", _I), ("ids", _B), ("data", _B), ("counts", _B)])
+TEXTS = pa.schema([("blk", _L), ("doc_id", _L), ("n_tokens", _I), ("n_known", _L), ("base_score", pa.float64()), ("data", _B)])
+SCORES = pa.schema([("doc_id", _L), ("n_tokens", _L), ("n_known", _L), ("base_score", pa.float64()), ("score", pa.float64())])
+
+
+def pack_sums(a: np.ndarray) -> bytes:
+    """64-bit sums (word, state), least bytes of all first: the upper ones are mostly 0."""
+    return pack(np.ascontiguousarray(a, np.int64).view(np.uint8).reshape(-1, 8).T)
+
+
+def unpack_sums(b: bytes, n: int, states: int) -> np.ndarray:
+    return np.ascontiguousarray(unpack(b, 8 * n * states, np.uint8).reshape(8, -1).T).view(np.int64).reshape(n, states)
+
+
+def _all_sums(table: pa.Table, states: int) -> np.ndarray:
+    rows = zip(*(table.column(c).to_pylist() for c in ("p", "n", "ids", "data", "counts")), strict=True)
+    return np.concatenate([first_sums(p, unpack(ids, n, np.int32), unpack(counts, n, np.int64), states) if counts else unpack_sums(b, n, states) for p, n, ids, b, counts in rows])
+
+
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.Table.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """splitmix64"""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def first_sums(p: int, ids: np.ndarray, counts: np.ndarray, states: int = STATES, seed: int = SEED) -> np.ndarray:
+    """A bucket's words' sums before the first round: c + 1 with random leanings, which bucket, number and seed fix; 0 for unseen words."""
+    key = _mixed(ids.astype(np.uint64) + np.uint64((p << 32) + (seed << 52)))[:, None]
+    draw = lambda k: (_mixed(key + np.arange(k * states + 1, (k + 1) * states + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)) * 2.0**-53
+    lean = np.exp(np.sqrt(-2 * np.log1p(-draw(0))) * np.cos(2 * np.pi * draw(1)))
+    return np.rint(np.where(counts[:, None] > 0, (counts[:, None] + 1.0) * lean, 0) * UNIT).astype(np.int64)
+
+
+def start_bucket(table: pa.Table, states: int = STATES) -> pa.Table:
+    """For each block its words' numbers and counts in all blocks, from which the first sums follow; and the bucket's tokens, known words and sums by state."""
+    table = table.sort_by("blk")
+    n = table.column("n").to_pylist()
+    hashes = np.concatenate([np.frombuffer(b, np.uint64) for b in table.column("data").to_pylist()])
+    own = np.concatenate([unpack(b, k, _WORD)["count"] for b, k in zip(table.column("extra").to_pylist(), n, strict=True)])
+    u, ids = np.unique(hashes, return_inverse=True)
+    total = np.zeros(len(u), np.int64)
+    np.add.at(total, ids, own)
+    known = total > 0
+    p = table.column("p")[0].as_py()
+    first = first_sums(p, np.arange(len(u)), total, states)
+    rows = [(-1, -1, 0, b"", np.concatenate(((total.sum(), known.sum()), first.sum(0) / UNIT)).tobytes(), b"")]
+    for blk, at in zip(table.column("blk").to_pylist(), np.split(ids, np.cumsum(n)[:-1]), strict=True):
+        rows.append((blk, p, len(at), pack(at.astype(np.int32)), b"", pack(total[at])))
+    return _table(rows, SUMS)
+
+
+def sum_bucket(table: pa.Table, states: int = STATES) -> pa.Table:
+    """For each block its words' sums over what all blocks expect."""
+    table = table.sort_by("blk")
+    n = table.column("n").to_pylist()
+    ids = [unpack(b, k, np.int32) for b, k in zip(table.column("ids").to_pylist(), n, strict=True)]
+    flat, p = np.concatenate(ids), table.column("p")[0].as_py()
+    sums = np.zeros((flat.max() + 1, states), np.int64)
+    np.add.at(sums, flat, _all_sums(table, states))
+    return _table([(blk, p, len(at), packed, pack_sums(sums[at]), b"") for blk, at, packed in zip(table.column("blk").to_pylist(), ids, table.column("ids").to_pylist(), strict=True)], SUMS)
+
+
+def base_block(docs: pa.Table, sums: pa.Table, n_tokens: int, n_known: int) -> pa.Table:
+    """A block's documents with the scores that don't depend on the model."""
+    if not docs.num_rows:
+        return TEXTS.empty_table()
+    sums = sums.sort_by("p")
+    count = np.concatenate([unpack(b, k, np.int64) for b, k in zip(sums.column("counts").to_pylist(), sums.column("n").to_pylist(), strict=True)])
+    base = np.log10((count + 1) / (n_tokens + n_known + 1))
+    rows = []
+    for blk, doc_id, n, data in zip(*(docs.column(c).to_pylist() for c in ("blk", "doc_id", "n", "data")), strict=True):
+        at = unpack(data, n, np.int32)
+        rows.append((blk, doc_id, n, int((count[at] > 0).sum()), math.fsum(base[at]), data))
+    return _table(rows, TEXTS)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _batches(batches):
-            total = hmm.run(_sequences(t)) + np.asarray(t.column("share_score"))
-            yield from t.select(["doc_id", "n_tokens", "n_known", "base_score"]).append_column("score", pa.array(total)).combine_chunks().to_batches()
 
-    return seqs.mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+@dataclass
+class Words:
+    """What the driver knows of a model whose emissions are in buckets: ``totals`` are the states' sums over all words, with 1 / states for each known one and the unseen."""
+
+    start: np.ndarray
+    step: np.ndarray
+    totals: np.ndarray
+
+    def block(self, sums: pa.Table) -> Hmm:
+        """The model of a block's words; sums are sorted by p."""
+        states = len(self.totals)
+        emit = (_all_sums(sums, states) / UNIT + 1 / states) / self.totals
+        return Hmm(self.start, self.step, emit.T)
+
+
+def learn_block(docs: pa.Table, sums: pa.Table, words: Words) -> pa.Table:
+    """What a block's training texts expect of each of its words; and of starts, steps and states, with their likelihood and tokens."""
+    if not docs.num_rows:
+        return SUMS.empty_table()
+    sums, states = sums.sort_by("p"), len(words.totals)
+    hmm = words.block(sums)
+    emits, rest = np.zeros((states, hmm.emit.shape[1])), np.zeros(states + states**2 + states + 2)
+    train = docs.filter(pa.array([not held_out(i) for i in docs.column("doc_id").to_pylist()], pa.bool_())).sort_by([("n_tokens", "ascending"), ("doc_id", "ascending")])
+    for t in _batches(train.combine_chunks().to_batches()):
+        seqs = [unpack(d, n, np.int32) for d, n in zip(t.column("data").to_pylist(), t.column("n_tokens").to_pylist(), strict=True)]
+        score, starts, steps, got = hmm.run(seqs, learn=True)
+        emits += got
+        rest += np.concatenate((starts, steps.ravel(), np.zeros(states), (score.sum(), sum(map(len, seqs)))))
+    parts = np.rint(emits.T * UNIT).astype(np.int64)
+    rest[-2 - states : -2] = parts.sum(0) / UNIT
+    blk, rows, at = docs.column("blk")[0].as_py(), [], 0
+    for p, n, ids in zip(*(sums.column(c).to_pylist() for c in ("p", "n", "ids")), strict=True):
+        rows.append((blk, p, n, ids, pack_sums(parts[at : at + n]), b""))
+        at += n
+    return _table([*rows, (blk, -1, 0, b"", rest.tobytes(), b"")], SUMS)
+
+
+def score_block(docs: pa.Table, sums: pa.Table, words: Words) -> pa.Table:
+    if not docs.num_rows:
+        return SCORES.empty_table()
+    hmm, out = words.block(sums.sort_by("p")), []
+    for t in _batches(docs.combine_chunks().to_batches()):
+        got = hmm.run([unpack(d, n, np.int32) for d, n in zip(t.column("data").to_pylist(), t.column("n_tokens").to_pylist(), strict=True)])
+        out.append(t.select(SCORES.names[:-1]).append_column("score", pa.array(got)).cast(SCORES))
+    return pa.concat_tables(out)
+
+
+def trained(docs: DataFrame, gain: float | None = None, states: int = STATES) -> tuple[DataFrame, DataFrame, Words, int, list[float]]:
+    """Texts (see TEXTS), their words' sums by block and bucket, the model, training tokens, and log10 likelihood a token before each round."""
+    gain = GAIN if gain is None else gain
+    encoded = encoded_blocks(docs)
+    table = written(encoded.where("kind = 1").groupBy("p").applyInArrow(lambda t: start_bucket(t, states), _ddl(SUMS)), "sums")
+    told = [np.frombuffer(r[0]) for r in table.where("p < 0").select("data").collect()]
+    total = np.sum(told, 0) if told else np.zeros(2 + states)
+    n_tokens, n_known = int(sum(int(x[0]) for x in told)), int(total[1])
+    texts = written(encoded.where("kind = 0").groupBy("blk").cogroup(table.where("p >= 0").groupBy("blk")).applyInArrow(lambda d, a: base_block(d, a, n_tokens, n_known), _ddl(TEXTS)), "texts")
+    drop_table(encoded)
+    step = np.full((states, states), 0.05 / max(1, states - 1))
+    np.fill_diagonal(step, 0.95 if states > 1 else 1.0)
+    words, history = Words(np.full(states, 1 / states), step, total[2:] + (n_known + 1) / states), []
+    sums = table.where("p >= 0")
+    while n_tokens:
+        now = words
+        last, table = table, written(texts.groupBy("blk").cogroup(sums.groupBy("blk")).applyInArrow(lambda d, a: learn_block(d, a, now), _ddl(SUMS)), "sums")
+        drop_table(last)
+        rest = np.sum([np.frombuffer(r[0]) for r in table.where("p < 0").orderBy("blk").select("data").collect()], 0)
+        starts, steps, totals, (score, n) = np.split(rest, np.cumsum((states, states**2, states)))
+        steps = steps.reshape(states, states) + STAY / states
+        words = Words((starts + 1) / (starts + 1).sum(), steps / steps.sum(1, keepdims=True), totals + (n_known + 1) / states)
+        last, table = table, written(table.where("p >= 0").groupBy("p").applyInArrow(lambda t: sum_bucket(t, states), _ddl(SUMS)), "sums")
+        drop_table(last)
+        sums = table
+        history.append(score / n)
+        if len(history) > 1 and history[-1] - history[-2] < gain:
+            break
+    return texts, sums, words, n_tokens, history
 
 
-def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of docs.
 
     A null text counts as empty: its one token is the end. Rows without an id are trained on.
     """
-    seqs, v = class_sequences(docs)
+    texts, sums, words, n_tokens, _ = trained(docs)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLD == HELD, F.lit(False))
-    hmm = baum_welch(seqs.where(~held), v.masses, rounds)
-    return score(seqs, hmm).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(v.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    scores = texts.groupBy("blk").cogroup(sums.groupBy("blk")).applyInArrow(lambda d, a: score_block(d, a, words), _ddl(SCORES))
+    return scores.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op3_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,3 +94,34 @@ def test_odd_documents(spark, tmp_path):
     assert len(got) == 21 and all(math.isfinite(r.score) for r in got)
     assert {r.n_tokens for r in got if r.doc_id in (2, 3, 4)} == {1}
     assert H.op3_hmm(spark, store(empty_documents(spark), tmp_path / "b")).count() == 0
+
+
+def test_rare_words_have_emissions_of_their_own(spark):
+    """Two topics of 4,000 words with the same endings, none with 1/6,000 of the tokens: only the words themselves tell."""
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"{'ab'[i % 2]}{w}x0" for w in rng.integers(0, 4000, 100))) for i in range(1600)]
+    held = [r for r in H.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held) + 0.1 * sum(r.n_tokens for r in held)
+
+
+def test_rounds_go_on_until_the_likelihood_settles(spark):
+    *_, history = H.trained(spark.createDataFrame(corpus(), "doc_id long, text string"), 1e-4)
+    gains = np.diff(history)
+    assert len(history) > 4 and (gains[:-1] >= 1e-4).all() and gains[-1] < 1e-4
+
+
+def test_one_state_is_the_base_score(spark):
+    docs = spark.createDataFrame(corpus(100), "doc_id long, text string")
+    texts, sums, words, *_ = H.trained(docs, states=1)
+    got = texts.groupBy("blk").cogroup(sums.groupBy("blk")).applyInArrow(lambda d, a: H.score_block(d, a, words), H._ddl(H.SCORES)).collect()
+    assert len(got) == 100 and all(abs(r.score - r.base_score) < 1e-4 for r in got)
+
+
+def test_counts_beyond_32_bits():
+    import pyarrow as pa
+
+    words = np.zeros(1, H._WORD)
+    words["count"] = 2**31 + 5
+    rows = [dict(zip(H.BLOCKS.names, (1, b, 0, None, 1, np.array([7], np.uint64).tobytes(), H.pack(words)), strict=True)) for b in (0, 1)]
+    got = H.start_bucket(pa.Table.from_pylist(rows, H.BLOCKS)).to_pylist()
+    assert [H.unpack(r["counts"], 1, np.int64)[0] for r in got if r["p"] == 0] == [2**32 + 10] * 2
