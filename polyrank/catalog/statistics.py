@@ -196,7 +196,7 @@ def wilson_interval(spark, sf):
     return n.select("g", r(low).alias("low"), r(high).alias("high"))
 
 
-B = 100
+B = 1000
 WEIGHTS = f""", ix AS (SELECT g, row_number() OVER (ORDER BY g) - 1 AS i FROM (SELECT DISTINCT g FROM cand)), nn AS (SELECT count(*) AS n FROM ix),
 dr AS (SELECT b, ('0x' || substr(sha256(b::VARCHAR || '|' || i::VARCHAR), 1, 12))::BIGINT % n AS i FROM range({B}) t(b), ix, nn),
 wt AS (SELECT b, g, count(*) AS w FROM dr JOIN ix USING (i) GROUP BY b, g)"""

@@ -1,12 +1,19 @@
-"""Aggregations and ranking statistics over candidates and groups."""
+"""Aggregations and ranking statistics over candidates and groups.
+
+Statistics of one group rank its rows in a window. Pooled ones, over all rows, rank one row for each distinct score by
+``ranges.running``, so that no task orders them all.
+"""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.windows import avg_rank, best_first, place
 from ..roles import ACCEPTABLE, HIGH, MEDIUM
+from .ranges import running
 
 
 def _keys(by) -> list[str]:
@@ -21,38 +28,68 @@ def spearman(df: DataFrame, x: str, y: str, by=None) -> DataFrame:
     keys = _keys(by)
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     if not keys:
-        d = d.withColumn("_all", F.lit(1))
-    p = keys or ["_all"]
-    d = d.withColumns({"_rx": avg_rank(x, p), "_ry": avg_rank(y, p)})
+        return _pooled_spearman(d, x, y)
+    d = d.withColumns({"_rx": avg_rank(x, keys), "_ry": avg_rank(y, keys)})
     # corr() fails on a constant side in ANSI mode
     rho = F.try_divide(F.covar_pop("_rx", "_ry"), F.stddev_pop("_rx") * F.stddev_pop("_ry"))
     varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y)) & (F.count(F.lit(1)) >= 3)
     return d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.when(varies, rho).alias("rho"))
 
 
+def _pooled_spearman(d: DataFrame, x: str, y: str) -> DataFrame:
+    """One row. Ranks are of distinct values; a row meets its y's rank by one join, its x's by aggregation alone."""
+    pairs = d.groupBy(F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("_n"))
+    middle = (F.col("before__m") + (F.col("_m") + 1) / F.lit(2.0)).alias("_r")
+    ys = running(pairs.groupBy("_y").agg(F.sum("_n").alias("_m")), "_y", ["_m"]).select("_y", "_m", middle)
+    xs = pairs.join(ys.select("_y", "_r"), "_y").groupBy("_x").agg(F.sum("_n").alias("_m"), F.sum(F.col("_n") * F.col("_r")).alias("_s"))
+    xs = running(xs, "_x", ["_m"]).select("_x", "_m", "_s", middle)
+    side = lambda f, v, *more: f.agg(F.sum("_m").alias("n"), F.min(v).alias("low"), F.max(v).alias("high"), F.sum(F.col("_m") * F.col("_r") * F.col("_r")).alias("squares"), *more)
+    one = side(xs, "_x", F.sum(F.col("_r") * F.col("_s")).alias("products"))
+    both = one.crossJoin(side(ys, "_y").select(F.col("low").alias("low_y"), F.col("high").alias("high_y"), F.col("squares").alias("squares_y")))  # a row each
+    n, mean = F.col("n"), (F.col("n") + 1) / F.lit(2.0)
+    spread = lambda c: F.col(c) / n - mean * mean
+    rho = F.try_divide(F.col("products") / n - mean * mean, F.sqrt(spread("squares") * spread("squares_y")))
+    return both.select(F.coalesce(n, F.lit(0)).alias("n"), F.when((F.col("low") < F.col("high")) & (F.col("low_y") < F.col("high_y")) & (n >= 3), rho).alias("rho"))
+
+
 def roc_auc(df: DataFrame, label: str, score: str, by=None) -> DataFrame:
     """ROC-AUC per ``by`` from rank sums, ties averaged; null if a class is absent. label is boolean; missing scores are left out."""
     keys = _keys(by)
     d = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
     if not keys:
-        d = d.withColumn("_all", F.lit(1))
-    d = d.withColumn("_r", avg_rank(score, keys or ["_all"]))
+        b = running(_blocks(d, label, score, []), score, ["_fp"])
+        tp, fp = F.sum("_tp"), F.sum("_fp")
+        auc = F.try_divide(F.sum(F.col("_tp") * (F.col("before__fp") + F.col("_fp") / F.lit(2.0))), tp.cast("double") * fp)
+        return b.agg(F.coalesce(tp, F.lit(0)).alias("positives"), F.coalesce(fp, F.lit(0)).alias("negatives"), auc.alias("auc"))
+    d = d.withColumn("_r", avg_rank(score, keys))
     pos, neg = F.count_if(F.col(label)), F.count_if(~F.col(label))
     auc = (F.sum(F.when(F.col(label), F.col("_r")).otherwise(0.0)) - pos * (pos + 1) / F.lit(2.0)) / (pos * neg)
     return d.groupBy(*keys).agg(pos.alias("positives"), neg.alias("negatives"), F.when((pos > 0) & (neg > 0), auc).alias("auc"))
 
 
+def _blocks(d: DataFrame, label: str, score: str, keys: list[str]) -> DataFrame:
+    """One row for each score: _tp positives, _fp others, _n rows."""
+    return d.groupBy(*keys, score).agg(F.count_if(F.col(label)).alias("_tp"), F.count_if(~F.col(label)).alias("_fp"), F.count(F.lit(1)).alias("_n"))
+
+
 def average_precision(df: DataFrame, label: str, score: str, by=None) -> DataFrame:
     """Average precision per ``by``: precision at the end of each block of equal scores, weighted by the recall that the block adds."""
     keys = _keys(by)
     d = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-    blocks = d.groupBy(*keys, score).agg(F.count_if(F.col(label)).alias("_tp"), F.count(F.lit(1)).alias("_n"))
-    if not keys:
-        blocks = blocks.withColumn("_all", F.lit(1))
-    w = Window.partitionBy(*(keys or ["_all"])).orderBy(F.col(score).desc())
-    every = Window.partitionBy(*(keys or ["_all"]))
-    blocks = blocks.withColumns({"_ctp": F.sum("_tp").over(w), "_cn": F.sum("_n").over(w), "_p": F.sum("_tp").over(every)})
-    return blocks.groupBy(*keys).agg(F.sum(F.when(F.col("_p") > 0, F.col("_tp") / F.col("_p") * (F.col("_ctp") / F.col("_cn")))).alias("ap"))
+    blocks = _blocks(d, label, score, keys)
+    if keys:
+        w = Window.partitionBy(*keys).orderBy(F.col(score).desc())
+        blocks = blocks.withColumns({"_ctp": F.sum("_tp").over(w), "_cn": F.sum("_n").over(w)})
+    else:
+        blocks = _from_the_top(blocks, score)
+    p = F.sum("_tp")
+    return blocks.groupBy(*keys).agg(F.when(p > 0, F.sum(F.col("_tp") * (F.col("_ctp") / F.col("_cn"))) / p).alias("ap"))
+
+
+def _from_the_top(blocks: DataFrame, score: str) -> DataFrame:
+    """Pooled blocks with _ctp and _cn: positives and rows with this score or a higher one."""
+    down = blocks.withColumn("_down", -F.col(score))
+    return running(down, "_down", ["_tp", "_n"]).withColumns({"_ctp": F.col("before__tp") + F.col("_tp"), "_cn": F.col("before__n") + F.col("_n")})
 
 
 def brier(df: DataFrame, label: str, probability: str, by=None) -> DataFrame:
@@ -99,18 +136,27 @@ def within_group_auc(df: DataFrame, label: str, score: str, group: str) -> DataF
 
 
 def precision_at_fraction(df: DataFrame, label: str, score: str, fraction: float, ties: list[str]) -> DataFrame:
-    """Precision among the best max(1, ceil(n * fraction)) rows, and the lowest score among them.
+    """Precision among the best max(1, ceil(n * fraction)) rows, and the lowest score among them; one row.
 
-    The cut is found on a table of one row per score, so no task orders all rows; within the cut score, ties decide.
+    The cut is looked for among distinct scores, then among the cut score's rows by each tie column in turn; rows that
+    are equal in all of them count positives last. A row a column comes to the driver.
     """
     d = df.where(F.col(score).isNotNull())
-    total = d.agg(F.greatest(F.lit(1).cast("long"), F.ceil(F.count(F.lit(1)) * F.lit(fraction))).alias("k"))
-    by_score = d.groupBy(score).agg(F.count(F.lit(1)).alias("_n")).withColumn("_cum", F.sum("_n").over(Window.orderBy(F.col(score).desc())))
-    cut = by_score.crossJoin(total).where("_cum >= k").agg(F.max_by(F.struct(F.col(score).alias("s"), (F.col("k") - (F.col("_cum") - F.col("_n"))).alias("more"), "k"), score).alias("c"))
-    at = d.crossJoin(cut).where(F.col(score) >= F.col("c.s"))
-    tied = at.where(F.col(score) == F.col("c.s")).withColumn("_no", F.row_number().over(Window.orderBy(*[F.col(t) for t in ties]))).where("_no <= c.more").drop("_no")
-    kept = at.where(F.col(score) > F.col("c.s")).unionByName(tied)
-    return kept.agg(F.count(F.lit(1)).alias("selected"), F.avg(F.col(label).cast("double")).alias("precision"), F.min(score).alias("cutoff"))
+    n = d.count()
+    left = k = min(n, max(1, math.ceil(n * fraction)))
+    hits, cutoff = 0, None
+    for c in [score, *ties]:
+        blocks = _blocks(d, label, c, []).withColumn("_up", -F.col(c) if c == score else F.col(c))
+        at = running(blocks, "_up", ["_tp", "_n"]).where(F.lit(left).between(F.col("before__n") + 1, F.col("before__n") + F.col("_n"))).first()
+        if at is None:
+            break
+        cutoff = at[c] if c == score else cutoff
+        hits, left, d, last = hits + at["before__tp"], left - at["before__n"], d.where(F.col(c) == F.lit(at[c])), (at["_tp"], at["_n"])
+        if left == at["_n"]:
+            break
+    if n:
+        hits += max(0, left - (last[1] - last[0]))
+    return df.sparkSession.createDataFrame([(k, hits / k if k else None, cutoff)], f"selected long, precision double, cutoff {dict(df.dtypes)[score]}")
 
 
 def ordered(df: DataFrame, score: str, group: str, ties: list[str], descending: bool = True) -> DataFrame:
