@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -26,57 +25,85 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); one of our own where the setting is unset, as in tests."""
+    """The folder that all executors share (spark.checkpoint.dir); where the setting is unset, the context's, or in local mode one of our own.
+
+    Raises on a cluster without a shared folder.
+    """
     place = spark.conf.get("spark.checkpoint.dir", None)
     if place:
         return place.rstrip("/")
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="polyrank-"))
     return sc.getCheckpointDir().rstrip("/")
 
 
+#: Deletes the shuffle files of an execution once it has ended, so that they don't add up over an operator's steps.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table written once in the shared folder: cuts lineage, survives lost executors, computed once however often it is read."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    remember(spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def remember(spark: SparkSession, path: str) -> None:
+    """List a folder of the session's results for ``drop_written``."""
     _WRITTEN.append((spark, path))
-    release(spark)
-    return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let the driver notice which shuffles no frame needs any more, so that executors delete their files.
-
-    Twice: what Python has let go reaches the JVM with a later call only.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def drop_written(spark: SparkSession) -> None:
     """Delete the tables written for this session's results; call it once the results have been stored."""
     for s, path in [x for x in _WRITTEN if x[0] is spark]:
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        delete(spark, path)
         _WRITTEN.remove((s, path))
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete one table of ``written`` that nothing reads any more."""
-    name = df.inputFiles()[0].rsplit("/", 2)[1]
-    for s, path in [x for x in _WRITTEN if x[1].endswith(f"/{name}")]:
-        p = s.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(s.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        _WRITTEN.remove((s, path))
+def drop_table(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing reads any more."""
+    for df in tables:
+        delete(df.sparkSession, df.written_to)
+        _WRITTEN[:] = [x for x in _WRITTEN if x[1] != df.written_to]
+
+
+def pack(a: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(a).tobytes(), codec="zstd", asbytes=True) if len(a) else b""
+
+
+def unpack(b: bytes, n: int, dtype) -> np.ndarray:
+    return np.frombuffer(pa.decompress(b, n * np.dtype(dtype).itemsize, codec="zstd", asbytes=True), dtype) if n else np.empty(0, dtype)
+
+
+_BASE = 0x9E3779B97F4A7C15
+
+
+@cache
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full((1 << bits) - 1, b, np.uint64))), dtype=np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
 
 
-@atexit.register
-def _forget() -> None:
-    _WRITTEN.clear()
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of an odd number and of its inverse, modulo 2**64: hashes of slices are differences of prefix sums."""
+    return _powers(max(10, (n - 1).bit_length()))
 
 
 def n_rows_bytes(df: DataFrame, text: str = "text") -> tuple[int, int]:

@@ -3,6 +3,7 @@ import random
 
 import pytest
 from polyrank.llm import substrings
+from pyspark.sql import functions as F
 
 from .cases import clashing, empty_documents, odd_documents, store
 
@@ -23,7 +24,8 @@ def brute(rows, length=100):
 
 
 def compare(spark, df, path):
-    rows = sorted(((r.doc_id, (r.text or "").encode()) for r in df.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    rows = sorted(((r.doc_id, r.h, (r.text or "").encode()) for r in df.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    rows = [(i, raw) for i, _, raw in rows]
     got = substrings.op1_substrings(spark, store(df, path)).collect()
     want = [(i, len(raw), len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest()) for (i, raw), (kept, spans) in zip(rows, brute(rows), strict=True)]
     key = lambda r: (r[0] is None, r[0] or 0, r[1:])
@@ -69,13 +71,33 @@ def test_hot_keys_equal_to_brute_force(spark, tmp_path, monkeypatch):
     rows = [(i, "".join(rng.choice("abcdefgh ") for _ in range(150)) + line * (1 + i % 3 // 2) + "".join(rng.choice("abc ") for _ in range(90 + i % 7))) for i in range(400)]
     rows += [(1000 + i, rows[i % 5][1]) for i in range(300)]
     monkeypatch.setattr(substrings, "BLOCK_BYTES", 30_000)
+    monkeypatch.setattr(substrings, "HOT", 8)
     compare(spark, spark.createDataFrame(rows, "doc_id long, text string"), tmp_path)
 
 
+def test_hot_keys_and_chunks_equal_to_brute_force(spark, tmp_path, monkeypatch):
+    for name, n in (("BLOCK_BYTES", 20_000), ("BUCKET_BYTES", 10_000), ("HOT", 1), ("CHUNK", 997), ("BATCH", 3_000)):
+        monkeypatch.setattr(substrings, name, n)
+    compare(spark, spark.createDataFrame(list(enumerate(corpus(3))), "doc_id long, text string"), tmp_path)
+
+
+def test_rows_of_one_id_in_several_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(substrings, "BLOCK_BYTES", 500)
+    texts = corpus(4, 40)
+    rows = [(i // 4, t) for i, t in enumerate(texts)] + [(None, t) for t in texts[:9]] + [(i, t) for i, t in enumerate(texts[:9])]
+    compare(spark, spark.createDataFrame(rows, "doc_id long, text string"), tmp_path)
+
+
+def test_long_periodic_texts(spark, tmp_path):
+    rows = [(1, "a" * 1_000_000), (2, "ab" * 500_000), (3, "line of forty characters that repeats.\n" * 20_000), (4, "a" * 99 + "b" * 99)]
+    got = {r.doc_id: r for r in substrings.op1_substrings(spark, store(spark.createDataFrame(rows, "doc_id long, text string"), tmp_path)).collect()}
+    assert [got[i].n_removed for i in (1, 2, 3, 4)] == [999_999, 999_998, len(rows[2][1]) - 39, 0]
+
+
 def test_odd_documents(spark, tmp_path):
-    df = odd_documents(spark)
-    compare(spark, clashing(df.union(df).union(spark.createDataFrame([(None, "z" * 250, None, None, 1)], df.schema))), tmp_path / "a")
+    df = odd_documents(spark).withColumns({"raw": F.lit("r"), "blk": F.lit("b"), "th": F.lit(1.5), "row": F.lit(2)})
+    compare(spark, clashing(df.union(df).union(spark.createDataFrame([(None, "z" * 250, None, None, 1, "r", "b", 1.5, 2)], df.schema))), tmp_path / "a")
     assert substrings.op1_substrings(spark, store(empty_documents(spark), tmp_path / "b")).count() == 0
     left = {r.doc_id: r for r in substrings.without_repeats(clashing(df)).collect()}
     assert left[2].text is None and left[1].text and left[7].text == "The cat sat on the mat, and then the cat sat on the mat again because it liked the mat."
-    assert left[1].score == "clash" and left[5].n_chars == len(left[5].text) and substrings.without_repeats(empty_documents(spark)).count() == 0
+    assert left[1].score == "clash" and left[1].raw == "r" and left[1].blk == "b" and left[1].th == 1.5 and left[1].row == 2 and left[5].n_chars == len(left[5].text) and substrings.without_repeats(empty_documents(spark)).count() == 0
