@@ -1,10 +1,14 @@
 """Sharding by size-tiered compaction, with DataFrame reads and writes only.
 
 A store is a folder with immutable Parquet shards and a list of manifests, one for each version. Every arrival is
-appended as a run of small shards. Once FANOUT runs are of similar size (the same power of FANOUT), they are merged
+appended as a run of small shards, in a folder that has the run's number in its name, so that a row's run and shard
+can be read off its file's path. Once FANOUT runs are of similar size (the same power of FANOUT), they are merged
 into one run of target-sized files: shards are read and written in larger groups, without a shuffle. A version
 comes to be by renaming a finished manifest to its number, which fails if another writer has taken that number;
 readers see whole versions only, and a job that fails leaves no trace but files that no manifest names.
+
+A column that an arrival adds is part of the manifest's schema from then on and null in earlier rows; one that it lacks
+is null in its rows. A column whose type differs from the manifest's is refused.
 """
 
 from __future__ import annotations
@@ -12,17 +16,22 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, shared_dir
+from .common import delete, documents, remember, shared_dir
 
 TARGET_BYTES = 128 << 20
 FANOUT = 4
-#: Arrivals into which the query deals the table's files.
-ARRIVALS = 8
+#: The query deals a table of b bytes into sqrt(b / UNIT) arrivals, FANOUT at least, so that merges grow with the table.
+UNIT = 1 << 20
+#: Versions that the query keeps readable while it compacts.
+KEEP = 2
+#: The folder and the file that a row lies in, as (run, shard).
+_PLACE = r"/run-(\d+)-[0-9a-f]+/part-(\d+)-[^/]*$"
 
 
 @dataclass
@@ -88,8 +97,8 @@ class ShardStore:
 
     # shards
 
-    def _write(self, df: DataFrame) -> list[tuple[str, int]]:
-        folder = f"data/{uuid.uuid4().hex}"
+    def _write(self, df: DataFrame, run: int) -> list[tuple[str, int]]:
+        folder = f"data/run-{run:010d}-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.path}/{folder}")
         found = [(s.getPath().getName(), s.getLen()) for s in self.fs.listStatus(self._path(folder)) if s.getPath().getName().startswith("part-")]
         return [(f"{folder}/{n}", b) for n, b in sorted(found)]
@@ -99,11 +108,10 @@ class ShardStore:
         m = m or self.manifest(version)
         if m.schema is None:
             raise ValueError("nothing has been appended yet")
-        from pyspark.sql.types import StructType
-
-        return self._frame(StructType.fromJson(json.loads(m.schema)), [p for r in m.runs for p, _ in r.shards])
+        return self._frame(m, m.runs)
 
-    def _frame(self, schema, paths: list[str]) -> DataFrame:
+    def _frame(self, m: Manifest, runs: list[Run]) -> DataFrame:
+        schema, paths = _schema(m.schema), [p for r in runs for p, _ in r.shards]
         if not paths:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[f"{self.path}/{p}" for p in paths])
@@ -111,17 +119,14 @@ class ShardStore:
     def append(self, df: DataFrame) -> Manifest:
         """One arrival: a run with a small shard for each of its tasks."""
         m = self.manifest()
-        shards = self._write(df)
-        schema = m.schema or df.schema.json()
-        return self.commit(Manifest(m.version, schema, m.next_run + 1, [*m.runs, Run(m.next_run, shards)]))
+        schema = evolved(_schema(m.schema), df.schema).json() if m.schema else df.schema.json()
+        return self.commit(Manifest(m.version, schema, m.next_run + 1, [*m.runs, Run(m.next_run, self._write(df, m.next_run))]))
 
     def tier(self, size: int) -> int:
         return int(math.log(max(1, size), self.fanout))
 
     def compact(self) -> Manifest:
         """Merge runs of one tier, as long as some tier has ``fanout`` of them; a commit for each merge."""
-        from pyspark.sql.types import StructType
-
         while True:
             m = self.manifest()
             tiers: dict[int, list[Run]] = {}
@@ -131,9 +136,7 @@ class ShardStore:
             if not full:
                 return m
             merged = full[0]
-            paths, size = [p for r in merged for p, _ in r.shards], sum(r.size for r in merged)
-            rows = self._frame(StructType.fromJson(json.loads(m.schema)), paths)
-            shards = self._write(rows.coalesce(max(1, round(size / self.target))))
+            shards = self._write(self._frame(m, merged).coalesce(max(1, round(sum(r.size for r in merged) / self.target))), m.next_run)
             gone = {r.number for r in merged}
             self.commit(Manifest(m.version, m.schema, m.next_run + 1, [*(r for r in m.runs if r.number not in gone), Run(m.next_run, shards)]))
 
@@ -149,34 +152,62 @@ class ShardStore:
         for v in known[:-keep]:
             self.fs.delete(self._path(f"manifests/v{v:010d}.json"), False)
 
-    def placed(self, m: Manifest | None = None) -> DataFrame:
-        """The rows with _run and _shard (its number within the run), from each row's file."""
-        m = m or self.manifest()
-        rows = [(p.rsplit("/", 1)[1], r.number, i) for r in m.runs for i, (p, _) in enumerate(r.shards)]
-        table = self.spark.createDataFrame(rows, "_file string, _run int, _shard int")
-        df = self.read(m=m)
-        if not rows:
+    def placed(self, version: int | None = None) -> DataFrame:
+        """The rows of a version with _run and _shard (its number within the run), read off each row's file: nothing is joined."""
+        df = self.read(version)
+        if not any(r.shards for r in self.manifest(version).runs):
             return df.withColumns({"_run": F.lit(None).cast("int"), "_shard": F.lit(None).cast("int")})
-        # a row for each shard: as many as files in the store
-        return df.withColumn("_file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)).join(table, "_file").drop("_file")
+        part = lambda i: F.regexp_extract(F.col("_metadata.file_path"), _PLACE, i).cast("int")
+        return df.withColumns({"_run": part(1), "_shard": part(2)})
+
+
+def _schema(text: str):
+    from pyspark.sql.types import StructType
+
+    return StructType.fromJson(json.loads(text))
+
+
+def evolved(old, new):
+    """old with the columns that only new has at its end, all of them nullable; raises if a type differs."""
+    from pyspark.sql.types import StructField, StructType
+
+    known = {f.name: f.dataType.simpleString() for f in old}
+    changed = [f.name for f in new if known.get(f.name, f.dataType.simpleString()) != f.dataType.simpleString()]
+    if changed:
+        raise ValueError("types differ from the store's: " + ", ".join(changed))
+    return StructType([StructField(f.name, f.dataType) for f in [*old, *(f for f in new if f.name not in known)]])
 
 
-def arrivals(docs: DataFrame, most: int = ARRIVALS) -> list[list[str]]:
-    """The files of docs in at most ``most`` arrivals, in order of name."""
-    files = sorted(docs.inputFiles())
-    n = min(most, len(files))
-    return [files[i * len(files) // n : (i + 1) * len(files) // n] for i in range(n)]
+def arrivals(docs: DataFrame, landing: str) -> Iterator[DataFrame]:
+    """docs in sqrt(bytes / UNIT) arrivals, FANOUT at least: its files in order of name, or if they are fewer its rows, dealt in turn into folders below ``landing``."""
+    spark, files = docs.sparkSession, sorted(docs.inputFiles())
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    size = sum((p := path(f)).getFileSystem(conf).getFileStatus(p).getLen() for f in files)
+    n = max(FANOUT, round(math.sqrt(size / UNIT)))
+    if len(files) >= n:
+        groups = [files[i * len(files) // n : (i + 1) * len(files) // n] for i in range(n)]
+    else:
+        name = "_arrival_" + uuid.uuid4().hex
+        docs.withColumn(name, F.pmod(F.monotonically_increasing_id(), F.lit(n))).write.partitionBy(name).parquet(landing)
+        groups = [[f"{landing}/{name}={i}"] for i in range(n)]
+        fs = path(landing).getFileSystem(conf)
+        groups = [g for g in groups if fs.exists(path(g[0]))] or [[]]
+    for g in groups:
+        yield spark.read.schema(docs.schema).parquet(*g) if g else spark.createDataFrame([], docs.schema)
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Append the documents' files as arrivals, compact after each, and return every row with the run and shard it has come to lie in.
+    """Append the documents as arrivals, compact after each, and return every row with the run and shard it has come to lie in.
 
-    Rows are stored as they are, nulls and repeats too; rows of an empty table make empty shards.
+    Rows are stored as they are, nulls and repeats too; an empty table makes one run without rows.
     """
-    docs = documents(spark, sf_dir)
-    store = ShardStore(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
-    for files in arrivals(docs):
-        store.append(spark.read.schema(docs.schema).parquet(*files))
+    folder = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    store = ShardStore(spark, folder)
+    for arrival in arrivals(documents(spark, sf_dir), f"{folder}-landing"):
+        store.append(arrival)
         store.compact()
-        store.vacuum()
+        store.vacuum(KEEP)
+    delete(spark, f"{folder}-landing")
+    remember(spark, folder)
     return store.placed().select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text"), 256).alias("text_sha256"), F.col("_run").alias("run"), F.col("_shard").alias("shard"))

@@ -47,3 +47,41 @@ def test_query_on_odd_and_empty_documents(spark, tmp_path):
     assert all(r.run is not None and r.shard is not None for r in got)
     empty_documents(spark).write.parquet(f"{tmp_path}/b/documents.parquet")
     assert sharding.op7_sharding(spark, f"{tmp_path}/b").count() == 0
+
+
+def test_schemas_evolve_or_are_refused(spark, tmp_path):
+    store = sharding.ShardStore(spark, f"{tmp_path}/store", fanout=2)
+    store.append(spark.createDataFrame([(1,)], "id long"))
+    store.append(spark.createDataFrame([(2, "x")], "id long, b string"))
+    store.append(spark.createDataFrame([("y",)], "b string"))
+    want = [(None, "y"), (1, None), (2, "x")]
+    key = lambda r: (r[0] is not None, r[0] or 0)
+    assert sorted(map(tuple, store.read().select("id", "b").collect()), key=key) == want
+    store.compact()
+    assert len(store.manifest().runs) < 3 and sorted(map(tuple, store.read().select("id", "b").collect()), key=key) == want
+    with pytest.raises(ValueError, match="types differ"):
+        store.append(spark.createDataFrame([("3",)], "id string"))
+    assert store.read(version=1).count() == 1
+
+
+def test_arrivals_of_one_file_and_of_many(spark, tmp_path, monkeypatch):
+    df = spark.range(4000).selectExpr("id as doc_id", "repeat(cast(id as string), 50) as text")
+    df.coalesce(1).write.parquet(f"{tmp_path}/one")
+    one = spark.read.parquet(f"{tmp_path}/one")
+    got = list(sharding.arrivals(one, f"{tmp_path}/landing"))
+    assert len(got) == sharding.FANOUT and sorted(r.doc_id for a in got for r in a.collect()) == list(range(4000))
+    df.repartition(12).write.parquet(f"{tmp_path}/many")
+    monkeypatch.setattr(sharding, "UNIT", 1 << 10)
+    got = list(sharding.arrivals(spark.read.parquet(f"{tmp_path}/many"), f"{tmp_path}/landing2"))
+    assert sharding.FANOUT < len(got) and sorted(r.doc_id for a in got for r in a.collect()) == list(range(4000))
+
+
+def test_every_tier_is_compacted(spark, tmp_path):
+    df = spark.range(1700).selectExpr("id as doc_id", "sha2(cast(id as string), 512) as text")
+    df.repartition(17).write.parquet(f"{tmp_path}/documents.parquet")
+    monkey, sharding.UNIT = sharding.UNIT, 600
+    try:
+        got = sharding.op7_sharding(spark, str(tmp_path)).collect()
+    finally:
+        sharding.UNIT = monkey
+    assert sorted(r.doc_id for r in got) == list(range(1700)) and len({r.run for r in got}) <= 6
