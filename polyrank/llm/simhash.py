@@ -104,15 +104,15 @@ def with_edits(docs: DataFrame) -> DataFrame:
     """doc_id, text (never null), n_chars, next_id and edited of each row.
 
     edited: the last floor(n_chars / 2) code points replaced by the first as many of the next document (descending
-    doc_id, after the last the first). Of several next documents of one id, the smallest text counts; a row without
-    an id has no next document and loses its last half.
+    doc_id, after the last the first). Of several next documents of one id, the one whose text has the smallest hash
+    counts; a row without an id has no next document and loses its last half.
     """
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     slim = base.select("doc_id", F.floor(F.length("text") / 2).cast("int").alias("_half"))
     need = slim.groupBy("doc_id").agg(F.max("_half").alias("_half")).join(successors(docs).withColumnRenamed("id", "doc_id"), "doc_id")
     need = need.select(F.col("doc_id").alias("_for"), F.col("next_id").alias("doc_id"), "_half")
-    heads = base.join(need, "doc_id").select(F.col("_for").alias("doc_id"), F.col("doc_id").alias("next_id"), F.expr("left(text, _half)").alias("_head"))
-    heads = heads.groupBy("doc_id", "next_id").agg(F.min("_head").alias("_head"))
+    heads = base.join(need, "doc_id").select(F.col("_for").alias("doc_id"), F.col("doc_id").alias("next_id"), F.xxhash64("text").alias("_th"), F.expr("left(text, _half)").alias("_head"))
+    heads = heads.groupBy("doc_id", "next_id").agg(F.min_by("_head", "_th").alias("_head"))
     heads = written(heads, "heads")  # frees what its joins have shuffled
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
@@ -127,7 +127,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     fps = fingerprints(two.select(*keys, F.col("_x.e").alias("_e"), F.col("_x.t").alias("_text")), [*keys, "_e"], "_text")
     one = fps.groupBy(*keys).agg(F.max(F.when(F.col("_e") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("_e") == 1, F.col("fp"))).alias("edited_fp"), F.max("n_rows").alias("n_rows"))
     one = written(one, "fingerprints")
-    next_ = one.groupBy(F.col("doc_id").alias("next_id")).agg(F.min("fp").alias("_next_fp"))
+    next_ = one.groupBy(F.col("doc_id").alias("next_id")).agg(F.min_by("fp", "_th").alias("_next_fp"))
     counts = one.groupBy("fp").agg(F.sum("n_rows").alias("_n"))
     queries = one.where("doc_id % 20 = 0").select("fp")
     near = near_fingerprints(queries, counts).join(counts, "fp").groupBy("q").agg(F.sum("_n").alias("_near"))

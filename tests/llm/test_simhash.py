@@ -42,6 +42,19 @@ def test_repeated_rows_and_null_ids(spark, tmp_path):
     assert simhash.op2_simhash(spark, store(empty_documents(spark), tmp_path)).count() == 0
 
 
+def test_next_documents_of_one_id_are_the_same_for_both(spark, tmp_path):
+    """Of the next id's two texts the one with the smaller hash gives both the edit and the likeness, in any partitions."""
+    rows = [(9, "alpha beta gamma delta epsilon zeta"), (5, "one two three four five six seven"), (5, "uno dos tres cuatro cinco seis")]
+    th = {t: x for t, x in spark.createDataFrame(rows, "doc_id long, text string").selectExpr("text", "xxhash64(text)").collect()}
+    other = min((t for i, t in rows if i == 5), key=th.get)
+    text, n = rows[0][1], len(rows[0][1])
+    for parts in (1, 3):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        r = next(r for r in simhash.op2_simhash(spark, store(df, tmp_path / str(parts))).collect() if r.doc_id == 9)
+        assert r.edited_sha256 == hashlib.sha256((text[: n - n // 2] + other[: n // 2]).encode()).hexdigest()
+        assert r.near_next == 1 - (brute(text) ^ brute(other)).bit_count() / 64
+
+
 def test_near_fingerprints_equal_brute_force(spark):
     import random
 
