@@ -49,7 +49,7 @@ def features(raw: bytes) -> list[float]:
     words = raw.split()
     w = max(1, len(words))
     lines = [x for x in raw.split(b"\n") if x.strip()]
-    punctuated = sum(not (x[-1] | 32) - 97 < 26 and x[-1] < 128 for x in words) / w
+    punctuated = sum(x[-1] < 128 and not 0 <= (x[-1] | 32) - 97 < 26 for x in words) / w  # words that end in neither a letter nor a byte beyond ASCII
     title = sum(65 <= x[0] <= 90 for x in words) / w
     control = float(counts[:9].sum() + counts[14:32].sum()) / n
     return [float(np.log1p(n)), *share[:8].tolist(), float(share[8]), control, (n - counts[32]) / w, len(set(words)) / w**0.75, sum(map(eq, words, words[1:])) / w, n / max(1, len(lines)), 1 - len(set(lines)) / max(1, len(lines)), punctuated, title]
@@ -175,7 +175,7 @@ def training_rows(x: DataFrame, labels: DataFrame, fold: int = 5, sample: int =
     used = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where(F.col("y").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % fold != 0))
     n = used.count()
     used = used.where(F.pmod(F.xxhash64("doc_id"), F.lit(FINE)) < int(FINE * min(1.0, sample / max(1, n))))
-    rows = x.join(used, "doc_id").orderBy(F.xxhash64("doc_id"), "y").limit(sample + sample // 10).collect()
+    rows = x.join(used, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "y", "x").limit(sample).collect()
     return np.array([r["x"] for r in rows], float).reshape(-1, len(FEATURES)), np.array([r["y"] for r in rows], float)
 
 
