@@ -12,13 +12,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import byte_chunks, documents
 
-#: Most labelled documents, and windows of each, that the network is trained on.
-SAMPLE, WINDOWS_OF_EACH = 3_000, 6
+#: Most labelled documents that the network is trained on, the same number of each language, but EACH of one if there are many; windows of each document.
+SAMPLE, EACH, WINDOWS_OF_EACH = 3_000, 50, 6
 #: Parts into which hashes are cut to draw it.
 FINE = 10**15
 WINDOW, EMBED, FILTERS, WIDTHS = 128, 6, 12, (2, 3, 4)
@@ -126,17 +126,23 @@ class ByteNet:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> ByteNet:
-    """A network trained on at most ``sample`` texts outside the held-out fold, evenly spaced windows of each.
+    """A network trained on texts outside the held-out fold, evenly spaced windows of each.
 
+    Every language that has labelled texts is learned. Of each at most ``sample`` / languages texts (EACH at least) are
+    drawn, those with the smallest hashes of id and text; all of a language with fewer. Equal ones are one.
     Without labelled texts it has no classes, and every text is UNKNOWN.
     """
     used = docs.select(F.col("doc_id").cast("string").alias("k"), "text", "lang").where("text is not null and lang is not null and length(text) > 0")
     used = used.where(F.coalesce(F.crc32(F.col("k").cast("binary")) % FOLD != HELD, F.lit(True)))
-    n = docs.where("lang is not null").count()
-    share = min(1.0, sample / max(1, n))
-    used = used.where(F.pmod(F.xxhash64("k"), F.lit(FINE)) < int(FINE * share))
+    counts = {r["lang"]: r["count"] for r in used.groupBy("lang").count().collect()}  # a row for each language
+    quota = max(EACH, sample // max(1, len(counts)))
+    # a hash below this draws some 1.5 * quota + 50 rows of a language, from which the smallest are kept
+    share = spark_map({lang: min(FINE, int(FINE * (1.5 * quota + 50) / n)) for lang, n in counts.items()})
     parts = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS_OF_EACH - 1)), lambda i: F.substring(F.col("text"), (i * F.greatest(F.lit(0), F.length("text") - WINDOW) / F.lit(WINDOWS_OF_EACH - 1) + 1).cast("int"), F.lit(WINDOW)))
-    rows = sorted(used.select("k", "lang", F.array_distinct(parts).alias("parts")).limit(2 * sample).collect(), key=lambda r: (r["k"] or "", r["lang"], r["parts"]))
+    drawn = used.withColumn("h", F.pmod(F.xxhash64("k", "text"), F.lit(FINE))).where(F.col("h") < share[F.col("lang")])
+    drawn = drawn.select("h", "k", "lang", F.array_distinct(parts).alias("parts")).distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "k", "parts"))
+    rows = sorted(drawn.withColumn("no", place).where(F.col("no") <= quota).collect(), key=lambda r: (r["h"], r["k"] or "", r["lang"], r["parts"]))
     net = ByteNet(sorted({r["lang"] for r in rows}))
     if net.classes:
         number = {c: i for i, c in enumerate(net.classes)}
@@ -152,6 +158,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> ByteNet:
     return net
 
 
+def spark_map(values: dict) -> Column:
+    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair]) if values else F.lit(None).cast("map<string,long>")
+
+
 def predict(docs: DataFrame, net: ByteNet, columns: list[str]) -> DataFrame:
     """``columns`` of docs and lang_pred, score of each row. columns must have text."""
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
