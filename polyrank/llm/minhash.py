@@ -227,10 +227,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id; of rows that repeat its id one stays. Rows without an id all stay."""
+    """One document of each component, the one with the smallest doc_id.
+
+    Rows of this id that are equal in all columns are one; those that differ stay: an id alone makes no duplicates.
+    Rows without an id are linked with nothing; of those that are equal in all columns one stays.
+    """
     kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    own = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
-    return own.dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    own = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(*docs.columns)
+    key = "_row_" + "_".join(docs.columns)  # no column's name
+    rows = own.unionByName(docs.where("doc_id is null")).withColumn(key, F.xxhash64(*docs.columns))
+    return rows.dropDuplicates(["doc_id", key]).drop(key)
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

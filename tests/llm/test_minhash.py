@@ -82,7 +82,15 @@ def test_odd_documents(spark, tmp_path):
     assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, True)]
     assert minhash.op8_minhash(spark, store(empty_documents(spark), tmp_path / "b")).count() == 0
     left = sorted((r.doc_id is None, r.doc_id or 0) for r in minhash.without_near_duplicates(clashing(twice)).collect())
-    assert left == [*((False, i) for i in (1, 2, 3, 4, 5, 6, 9, 10)), (True, 0)]
+    assert left == [*((False, i) for i in (1, 2, 3, 3, 4, 5, 6, 9, 10)), (True, 0)]
+
+
+def test_rows_of_one_id_stay_if_they_differ(spark):
+    rows = [(7, "one text of some words that is like no other"), (7, "quite another text with words of its own"), (None, "x y z"), (None, "x y z"), (None, "w")]
+    df = spark.createDataFrame(rows * 2, "doc_id long, text string")
+    for n in (1, 5):
+        got = minhash.without_near_duplicates(df.repartition(n)).collect()
+        assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(set(rows), key=str)
 
 
 def by_size(by, doc_id):
