@@ -1,6 +1,6 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
-Each document gets a hash-random key. Within its source, documents are ordered by that key; the order is
+Each document gets a hash-random key, of its id and text, so that rows of one id have an order too. Within its source, documents are ordered by that key; the order is
 dealt into ranges by the key's first hex digits, so that one source that holds most rows is spread over
 ``16 ** digits`` tasks. A prefix sum of word counts is the sum of the ranges before (a small table) and a
 running sum inside the range. Each source's budget is cut at its exact word; budgets above the source's
@@ -25,7 +25,8 @@ def word_count(text: str = "text") -> Column:
 
 
 def with_keys(docs: DataFrame, seed: str = SEED, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    key = F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
+    own = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    key = F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("|"), own).cast("binary"))
     return docs.withColumns({"_size": word_count(text), "_key": key, "_range": F.substring(key, 1, DIGITS)})
 
 
@@ -105,7 +106,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP4_SQL = rf"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5('{SEED}|' || coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+         md5('{SEED}|' || coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))) AS k FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, ([5.0, 2.0, 1.0])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS wt FROM s),
 f AS (SELECT *, source_size * 3.0::DOUBLE AS cap, source_size * 3.0::DOUBLE / wt AS full_at FROM w),
