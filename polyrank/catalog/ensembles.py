@@ -32,9 +32,24 @@ def pair_side_jaccard(spark, sf):
 DIR = ", dir AS (SELECT g, a AS id, b AS other, seed_a AS seed, seed_b AS oseed, weight_a AS weight, weight_b AS oweight, jaccard FROM prs UNION ALL SELECT g, b, a, seed_b, seed_a, weight_b, weight_a, jaccard FROM prs)"
 
 
-@query(with_(MEMB + DIR, "SELECT d.g, d.id, round(avg(jaccard), 6) AS mean_j, round(avg(jaccard) FILTER (d.weight = oweight AND d.seed <> oseed), 6) AS mean_j_across_seeds, round(avg(jaccard) FILTER (d.weight <> oweight AND d.seed = oseed), 6) AS mean_j_across_weights, round(max(jaccard), 6) AS max_j, round(avg((jaccard IS NOT NULL)::INT), 6) AS valid_share, round(sum(jaccard * m.score) / nullif(sum(jaccard), 0), 6) AS weighted_score, count(*) AS pairs FROM dir d JOIN memb m ON m.g = d.g AND m.id = d.other GROUP BY d.g, d.id"))
+FEAT = """SELECT d.g, d.id, round(avg(jaccard), 6) AS mean_j, round(median(jaccard), 6) AS median_j,
+  round(list_avg((list(jaccard ORDER BY jaccard DESC) FILTER (jaccard IS NOT NULL))[1:3]), 6) AS top3_j,
+  round(avg(jaccard) FILTER (d.weight = oweight AND d.seed <> oseed), 6) AS mean_j_across_seeds,
+  round(avg(jaccard) FILTER (d.weight <> oweight AND d.seed = oseed), 6) AS mean_j_across_weights,
+  round(avg(jaccard) FILTER (d.weight <> oweight), 6) AS mean_j_other_weights, round(max(jaccard), 6) AS max_j,
+  round(avg((jaccard IS NOT NULL)::INT), 6) AS valid_share, count(jaccard) AS valid_pairs,
+  round(sum(jaccard * m.score) / nullif(sum(jaccard), 0), 6) AS weighted_score, round(sum(jaccard * (m.id % 97)) / nullif(sum(jaccard), 0), 6) AS weighted_second,
+  round(avg(CASE WHEN jaccard IS NOT NULL THEN abs(d.id - d.other) % 13 END), 6) AS mean_rmsd, round(avg(CASE WHEN (d.id + d.other) % 3 > 0 THEN jaccard END), 6) AS mean_j_cb8, count(*) AS pairs
+FROM dir d JOIN memb m ON m.g = d.g AND m.id = d.other GROUP BY d.g, d.id"""
+
+
+@query(with_(MEMB + DIR, FEAT))
 def pair_features(spark, sf):
-    return rounded(pairs.pair_features(_pairs(spark, sf), "g", "id", "score", "seed", "weight"))
+    """A remainder of the ids stands for the distance of two poses, and a third of the pairs have no representative atoms."""
+    m = members(spark, sf).withColumn("second", F.expr("cast(id % 97 as double)"))
+    p = pairs.pair_similarity(m, "g", "id", "contacts", [*CARRY, "second"])
+    p = p.withColumns({"rmsd": F.when(F.col("jaccard").isNotNull(), F.abs(F.col("a_id") - F.col("b_id")) % 13), "jaccard_cb8": F.when((F.col("a_id") + F.col("b_id")) % 3 > 0, F.col("jaccard"))})
+    return rounded(pairs.pair_features(p, "g", "id", "score", "seed", "weight", {"mean_rmsd": "rmsd", "mean_j_cb8": "jaccard_cb8"}, "second"))
 
 
 @query(with_(MEMB + DIR, "SELECT d.g, d.id, round(sum(jaccard * m.score) / nullif(sum(jaccard), 0), 6) AS weighted_score FROM dir d JOIN memb m ON m.g = d.g AND m.id = d.other GROUP BY d.g, d.id"))
@@ -116,7 +131,7 @@ def interface_topology(spark, sf):
     return rounded(kernels.interface_topology(geometry.contacts(atoms(spark, sf), 0.15), "g", lost))
 
 
-@query()
+@query(with_(ATOM, ", e AS (SELECT DISTINCT g || '|A|' || ra AS a, g || '|B|' || rb AS b FROM near WHERE d2 < 0.12::DOUBLE * 0.12::DOUBLE), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach AS (SELECT a AS node, a AS other FROM u UNION SELECT r.node, u.b FROM reach r JOIN u ON u.a = r.other)\nSELECT node, min(other) AS comp FROM reach GROUP BY node").replace("WITH atom", "WITH RECURSIVE atom").replace("b.side = 'B')\n,", "b.side = 'B'),"))
 def components(spark, sf):
     from ..sources.readers import table_checkpoint
 
@@ -166,3 +181,10 @@ def label_correction(spark, sf):
     d = d.withColumn("c", F.greatest("d", ((F.col("id") * 7) % 100) / 100))
     u = is_null_token(accession("name", 0)) | is_null_token(accession("name", 1))
     return geometry.corrected_labels(d, "d", "c", "m", u).select("id", "corrected", "corrected_mapping", "changed", "crossed")
+
+
+@query(with_(MEMB, "SELECT g, count(*) FILTER (seed_a = 0 AND seed_b = 0) AS pairs, count(jaccard) FILTER (seed_a = 0 AND seed_b = 0) AS valid_pairs, round(avg(jaccard) FILTER (seed_a = 0 AND seed_b = 0), 6) AS mean_j FROM prs GROUP BY g"))
+def seed_subset(spark, sf):
+    from ..operators import cohort
+
+    return rounded(cohort.one_seed(_pairs(spark, sf), "g", "seed"))

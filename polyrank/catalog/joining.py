@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..bindings import ATOM, CAND, MEMB, atoms, candidates, members, table, with_
+from ..functions.columns import is_null_token, unordered_pair
 from ..operators import geometry, joins, selectors, sets, stats
 from .registry import query, r, rounded
 from .statistics import MET
@@ -132,25 +133,27 @@ def dedupe_first(spark, sf):
     return d.select("l_orderkey", "l_linenumber", "l_partkey")
 
 
-LEVELS = {"text": "text", "folded": "lower(trim(text))", "prefix": "substr(text, 1, 64)", "words": "substr(text, 1, 20)"}
-LONG = "lv AS (" + " UNION ALL ".join(f"SELECT doc_id, '{n}' AS level, {e} AS value FROM documents" for n, e in LEVELS.items()) + "), la AS (SELECT * FROM lv WHERE doc_id % 2 = 0), lb AS (SELECT * FROM lv WHERE doc_id % 2 = 1)"
+LEVELS = {
+    "text": "text",
+    "folded": "lower(trim(text))",
+    "prefix": "substr(text, 1, 64)",
+    "start": "substr(text, 1, 20)",
+    "pair": "CASE WHEN upper(coalesce(source, '')) IN ('', 'UNDEFINED', 'NONE', 'NAN', 'NA') OR upper(coalesce(lang, '')) IN ('', 'UNDEFINED', 'NONE', 'NAN', 'NA') THEN NULL ELSE least(source, lang) || '|' || greatest(source, lang) END",
+}
+LONG = "lv AS (SELECT doc_id, level, md5(v) AS value FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{n}' AS level, {e} AS v FROM documents" for n, e in LEVELS.items()) + ") WHERE v IS NOT NULL), la AS (SELECT * FROM lv WHERE doc_id % 2 = 0), lb AS (SELECT * FROM lv WHERE doc_id % 2 = 1)"
 
 
 def _levels(spark, sf, side):
+    """Five identities of a document, as digests: what is compared and shuffled doesn't grow with the texts."""
     d = table(spark, sf, "documents").where(F.col("doc_id") % 2 == side)
-    return sets.levels_long(d, "doc_id", {"text": F.col("text"), "folded": F.lower(F.trim(F.col("text"))), "prefix": F.substring("text", 1, 64), "words": F.substring("text", 1, 20)})
+    known = ~(is_null_token(F.col("source")) | is_null_token(F.col("lang")))
+    values = {"text": F.col("text"), "folded": F.lower(F.trim(F.col("text"))), "prefix": F.substring("text", 1, 64), "start": F.substring("text", 1, 20), "pair": F.when(known, unordered_pair("source", "lang"))}
+    return sets.levels_long(d, "doc_id", {n: F.md5(v.cast("binary")) for n, v in values.items()})
 
 
-@query(with_(LONG, "SELECT a.level, md5(a.value) AS value_md5, count(DISTINCT a.doc_id) AS n_a, count(DISTINCT b.doc_id) AS n_b, array_to_string((list_sort(list(DISTINCT a.doc_id::VARCHAR)))[1:100], ';') AS ids_a, array_to_string((list_sort(list(DISTINCT b.doc_id::VARCHAR)))[1:100], ';') AS ids_b FROM la a JOIN lb b ON a.level = b.level AND a.value = b.value GROUP BY a.level, a.value"))
+@query(with_(LONG + ", n AS (SELECT level, value, count(DISTINCT doc_id) FILTER (doc_id % 2 = 0) AS n_a, count(DISTINCT doc_id) FILTER (doc_id % 2 = 1) AS n_b FROM lv GROUP BY ALL)", "SELECT DISTINCT level, value, CASE doc_id % 2 WHEN 0 THEN 'a' ELSE 'b' END AS side, doc_id::VARCHAR AS id, n_a, n_b FROM lv JOIN n USING (level, value) WHERE n_a > 0 AND n_b > 0"))
 def overlap_audit(spark, sf):
-    o = sets.overlap_audit(_levels(spark, sf, 0), _levels(spark, sf, 1))
-    return o.select("level", F.md5(F.col("value").cast("binary")).alias("value_md5"), "n_a", "n_b", "ids_a", "ids_b")
-
-
-@query(with_(LONG + ", sh AS (SELECT DISTINCT level, value FROM la INTERSECT SELECT level, value FROM lb)", "SELECT DISTINCT level, md5(value) AS value_md5, CASE doc_id % 2 WHEN 0 THEN 'a' ELSE 'b' END AS side, doc_id::VARCHAR AS id FROM lv SEMI JOIN sh USING (level, value)"))
-def overlap_ids(spark, sf):
-    o = sets.overlap_ids(_levels(spark, sf, 0), _levels(spark, sf, 1))
-    return o.select("level", F.md5(F.col("value").cast("binary")).alias("value_md5"), "side", "id")
+    return sets.overlap_audit(_levels(spark, sf, 0), _levels(spark, sf, 1))
 
 
 @query(with_(LONG + ", n AS (SELECT a.level, count(DISTINCT a.value) AS n FROM la a SEMI JOIN lb b ON a.level = b.level AND a.value = b.value GROUP BY a.level)", "SELECT coalesce(sum(n) FILTER (level IN ('text', 'folded')), 0)::BIGINT AS strict_overlaps, coalesce(sum(n) FILTER (level IN ('text', 'folded')), 0) = 0 AS passed FROM n"))

@@ -177,3 +177,35 @@ def bsa_summary(spark, sf):
 @query("SELECT doc_id, length(text) AS n FROM documents WHERE length(text) < 1500")
 def length_filter(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.length("text").cast("long").alias("n")).where("n < 1500")
+
+
+@query("SELECT event_id, format('score {:.10g} of {:.10g}, {:.10g}', value, k / 7.0::DOUBLE, value * power(10.0::DOUBLE, event_id % 30 - 12)) AS reason FROM (SELECT event_id, value, json_extract_string(props, '$.k')::DOUBLE AS k FROM events)")
+def reason_text(spark, sf):
+    k = F.get_json_object("props", "$.k").cast("double")
+    return table(spark, sf, "events").select("event_id", c.reason_text("score ", F.col("value"), " of ", k / 7, ", ", F.col("value") * F.pow(F.lit(10.0), F.col("event_id") % 30 - 12)).alias("reason"))
+
+
+@query("SELECT p_name, p_partkey, p_type, p_brand, p_size FROM part")
+def column_contract(spark, sf):
+    """Preferred columns first; prices dropped, and none may be left."""
+    from ..operators.contracts import preferred_first, without_columns
+
+    p = table(spark, sf, "part").select("p_partkey", "p_type", "p_brand", "p_size", "p_retailprice", "p_name")
+    return preferred_first(without_columns(p, ["p_retailprice", "absent"], "price"), ["p_name", "absent", "p_partkey"])
+
+
+@query("SELECT c_name AS name, c_custkey AS key, 'customer' AS source FROM customer UNION ALL SELECT s_name, s_suppkey + 1000000, 'supplier' FROM supplier")
+def load_sources(spark, sf):
+    """Two sources' tables, written and read with their contract."""
+    import uuid
+
+    from ..operators.cohort import load_sources as load
+    from ..sources import readers
+
+    readers.table_checkpoint(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/sources-{uuid.uuid4().hex}"
+    paths = {}
+    for name, sql in {"customer": "c_name as name, c_custkey as key", "supplier": "s_name as name, s_suppkey + 1000000 as key"}.items():
+        paths[name] = f"{folder}/{name}.parquet"
+        table(spark, sf, name).selectExpr(*sql.split(", ")).write.parquet(paths[name])
+    return load(spark, paths, ["name", "key"], "key")

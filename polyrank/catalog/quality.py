@@ -110,3 +110,20 @@ def dq_audit_summary(spark, sf):
 @query(with_(CAND, "SELECT 'table' AS metric, 'rows' AS key, count(*) AS value FROM cand UNION ALL SELECT 'table', 'groups', count(DISTINCT g) FROM cand UNION ALL SELECT 'missing', 'score', count(*) - count(score) FROM cand UNION ALL SELECT 'missing', 'truth', count(*) - count(truth) FROM cand UNION ALL SELECT 'kind', kind, count(*) FROM cand GROUP BY kind"))
 def dq_report(spark, sf):
     return contracts.quality_report(candidates(spark, sf), "g", ["score", "truth"], "kind")
+
+
+RELEASE = """ex AS (SELECT c_mktsegment AS name, count(*) + (c_mktsegment = 'BUILDING')::INT AS rows, md5(string_agg(c_name, ',' ORDER BY c_custkey)) AS sha256 FROM customer WHERE c_mktsegment <> 'MACHINERY' GROUP BY c_mktsegment),
+ob AS (SELECT c_mktsegment AS name, count(*) AS rows, md5(string_agg(c_name, ',' ORDER BY c_custkey)) AS sha256 FROM customer WHERE c_mktsegment <> 'FURNITURE' GROUP BY c_mktsegment)"""
+
+
+@query(with_(RELEASE, """SELECT gate, count(name) AS n, coalesce(string_agg(name, ';' ORDER BY name), '') AS examples FROM (VALUES ('missing'), ('unexpected'), ('listed_twice'), ('rows'), ('digest'), ('absolute_path'), ('forbidden_columns')) g(gate) LEFT JOIN (
+SELECT 'missing' AS gate, name FROM ex ANTI JOIN ob USING (name) UNION ALL SELECT 'unexpected', name FROM ob ANTI JOIN ex USING (name) UNION ALL SELECT 'rows', ex.name FROM ex JOIN ob USING (name) WHERE ex.rows <> ob.rows
+UNION ALL SELECT 'absolute_path', name FROM ob WHERE name = 'AUTOMOBILE' UNION ALL SELECT 'forbidden_columns', name FROM ob WHERE name = 'HOUSEHOLD') USING (gate) GROUP BY gate"""))
+def release_gates(spark, sf):
+    c = table(spark, sf, "customer")
+    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))), lambda x: x["c_name"]), ",")
+    a = c.groupBy(F.col("c_mktsegment").alias("name")).agg(F.count(F.lit(1)).alias("rows"), F.md5(names.cast("binary")).alias("sha256"))
+    expected = a.where("name <> 'MACHINERY'").withColumn("rows", F.col("rows") + (F.col("name") == "BUILDING").cast("int"))
+    path = F.concat(F.when(F.col("name") == "AUTOMOBILE", "/").otherwise(""), F.lit("out/"), F.col("name"))
+    observed = a.where("name <> 'FURNITURE'").withColumns({"path": path, "columns": F.array(F.lit("id"), F.when(F.col("name") == "HOUSEHOLD", "truth").otherwise("score"))})
+    return contracts.release_gates(expected, observed)

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..bindings import table
+from ..bindings import MEMB, members, table, with_
 from ..sources import readers
 from .registry import query, rounded
 
@@ -106,19 +106,45 @@ def fasta_format(spark, sf):
     return readers.parsed_fasta(p, "text")
 
 
-@query()
+A3M = "concat('>', p_partkey % 7 + 101, chr(10), upper(p_brand), chr(10), '>x', chr(10), '--', chr(10), chr(0), CASE WHEN p_partkey % 3 = 0 THEN '> 205 z' ELSE '>none' END, chr(10), upper(p_type), chr(10), chr(0))"
+
+
+@query(f"SELECT p_partkey, TRY_CAST(nullif(regexp_extract(b, '^\\s*>\\s*([0-9]+)', 1), '') AS INT) AS block, md5(b) AS block_md5 FROM (SELECT p_partkey, unnest(string_split({A3M}, chr(0))) AS b FROM part) WHERE trim(b) <> ''")
 def a3m_blocks(spark, sf):
-    p = table(spark, sf, "part").select("p_partkey", F.concat(F.lit(">101\nACD\n>x\nA-D\n"), F.expr("chr(0)"), F.lit(">102\nEFG\n"), F.expr("chr(0)")).alias("t"))
-    return readers.alignment_blocks(p, "t")
+    b = readers.alignment_blocks(table(spark, sf, "part").select("p_partkey", F.expr(A3M).alias("t")), "t")
+    return b.select("p_partkey", "block", F.md5(F.col("block_text").cast("binary")).alias("block_md5"))
 
 
-@query()
+@query("SELECT p_partkey, sequence, length(sequence)::INT AS columns FROM (SELECT p_partkey, '---' || upper(regexp_replace(p_type, '[^A-Za-z]', '', 'g')) || '-----' AS sequence FROM part)")
 def a3m_pad(spark, sf):
     p = table(spark, sf, "part").select("p_partkey", F.array(F.struct(F.lit("q").alias("header"), F.upper(F.regexp_replace("p_type", "[^A-Za-z]", "")).alias("sequence"))).alias("rows"))
     d = p.withColumn("rows", readers.padded_alignment(F.col("rows"), F.lit(3), F.lit(5)))
     return d.select("p_partkey", F.col("rows")[0]["sequence"].alias("sequence"), readers.aligned_length(F.col("rows")[0]["sequence"]).alias("columns"))
 
 
+@query("SELECT p_partkey, concat('q', chr(9), 'r') AS header, upper(t) || lower(b) || upper(b) AS sequence, CASE WHEN p_partkey % 5 = 0 THEN 'columns' WHEN p_partkey % 7 = 0 THEN 'letters' ELSE '' END AS problem FROM (SELECT p_partkey, regexp_replace(p_type, '[^A-Za-z]', '', 'g') AS t, regexp_replace(p_brand, '[^A-Za-z]', '', 'g') AS b FROM part)")
+def a3m_pair(spark, sf):
+    """Two chains' alignments side by side; every fifth lacks a column and every seventh of the others has a digit."""
+    clean = lambda c: F.regexp_replace(c, "[^A-Za-z]", "")
+    row = lambda h, s: F.array(F.struct(F.lit(h).alias("header"), s.alias("sequence")))
+    p = table(spark, sf, "part").select("p_partkey", clean("p_type").alias("t"), clean("p_brand").alias("b"))
+    d = p.withColumn("rows", readers.paired_alignment(row("q", F.upper("t")), row("r", F.concat(F.lower("b"), F.upper("b")))))
+    broken = F.transform("rows", lambda r: F.struct(r["header"].alias("header"), F.when(F.col("p_partkey") % 5 == 0, F.substring(r["sequence"], 2, 1000)).when(F.col("p_partkey") % 7 == 0, F.concat(r["sequence"], F.lit("1"))).otherwise(r["sequence"]).alias("sequence")))
+    problem = readers.alignment_problem(broken, F.length("t") + F.length("b"))
+    return d.select("p_partkey", F.col("rows")[0]["header"].alias("header"), F.col("rows")[0]["sequence"].alias("sequence"), problem.alias("problem"))
+
+
+@query(with_(MEMB, "SELECT g, string_agg('seed_' || seed || ':model_' || weight, ';' ORDER BY seed, weight) AS members FROM memb GROUP BY g"))
+def member_list(spark, sf):
+    return members(spark, sf).groupBy("g").agg(readers.member_list("seed", "weight").alias("members"))
+
+
+@query("SELECT event_id, CASE WHEN json_valid(t) THEN json_type(t) = 'OBJECT' ELSE false END AS is_object FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN '[' || props || ']' WHEN 2 THEN '7' ELSE props || '}' END AS t FROM events)")
+def json_root(spark, sf):
+    t = F.expr("CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN concat('[', props, ']') WHEN 2 THEN '7' ELSE concat(props, '}') END")
+    return table(spark, sf, "events").select("event_id", readers.json_object(t).isNotNull().alias("is_object"))
+
+
 REPORT = "concat('A B 1 2 asym ', round(k / 1000, 4), ' 0 0 0 0 0 0 x', chr(10), 'B A 1 2 asym ', round(k / 500, 4), ' 0 0 0 0 0 0 x', chr(10), 'A B 1 2 max ', round(CASE WHEN k % 10 = 3 THEN k ELSE k / 500 END, 4), ' 0 0 0 0 0 0 x', chr(10), 'short line')"
 
 

@@ -138,3 +138,20 @@ def residue_letter(name: Column | str) -> Column:
     """One-letter code; X for what isn't standard."""
     table = F.create_map(*[F.lit(x) for kv in RESIDUES.items() for x in kv])
     return F.coalesce(F.try_element_at(table, F.upper(_c(name))), F.lit("X"))
+
+
+def number_text(x: Column | str) -> Column:
+    """A number with ten significant digits and no zeros at the end; with an exponent below 0.0001 and from 10,000,000,000 on."""
+    v = _c(x).cast("double")
+    text = F.format_string("%.9e", v)
+    digits, power = F.substring_index(text, "e", 1), F.substring_index(text, "e", -1).try_cast("int")
+    bare = lambda t: F.regexp_replace(F.regexp_replace(t, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    plain = bare(text.try_cast("decimal(28,14)").cast("string"))
+    exponent = F.concat(bare(digits), F.when(power < 0, "e-").otherwise("e+"), F.when(F.abs(power) < 10, "0").otherwise(""), F.abs(power).cast("string"))
+    odd = F.isnan(v) | (F.abs(v) == float("inf"))
+    return F.when(v == 0, "0").when(odd, F.lower(v.cast("string"))).when(power.between(-4, 9), plain).otherwise(exponent)
+
+
+def reason_text(*parts: Column | str) -> Column:
+    """A reason as one text: columns are numbers, strings stand as they are; null if a number is missing."""
+    return F.concat(*[F.lit(p) if isinstance(p, str) else number_text(p) for p in parts])

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.windows import place
 from ..roles import ACCEPTABLE
+from .contracts import duplicate_keys, require
+from .sets import union_tagged
 
 
 def system_metrics(df: DataFrame, group: str, rank: str, truth: str, score: str) -> DataFrame:
@@ -72,3 +74,18 @@ def job_status(expected: DataFrame, observed: DataFrame, key: str) -> DataFrame:
     j = expected.withColumn("_e", F.lit(True)).join(observed.withColumn("_o", F.lit(True)), key, "full")
     status = F.when(F.col("_e").isNull(), "unexpected").when(F.col("_o").isNull(), "pending").when(F.coalesce(F.col("error"), F.lit("")) != "", "failed").when(F.col("digest") == F.col("want_digest"), "complete").otherwise("stale")
     return j.select(key, status.alias("status"))
+
+
+def load_sources(spark: SparkSession, paths: dict[str, str], required: list[str], key: str, tag: str = "source") -> DataFrame:
+    """Tables of several sources as one, each row with its source's name; raises if a table lacks columns or a key stands twice, in one source or in two."""
+    from ..sources.readers import read_table
+
+    all_ = union_tagged({name: read_table(spark, path, required) for name, path in paths.items()}, tag)
+    require(duplicate_keys(all_, [key]))
+    return all_
+
+
+def one_seed(pairs: DataFrame, group: str, seed: str, value: int = 0) -> DataFrame:
+    """Per group: pairs whose both ends have this seed, those that are valid, and their mean similarity; groups without such pairs too."""
+    both = (F.col(f"a_{seed}") == value) & (F.col(f"b_{seed}") == value)
+    return pairs.groupBy(group).agg(F.count_if(both).alias("pairs"), F.count(F.when(both, F.col("jaccard"))).alias("valid_pairs"), F.avg(F.when(both, F.col("jaccard"))).alias("mean_j"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -149,3 +152,50 @@ def quality_report(df: DataFrame, group: str, features: list[str], category: str
     miss = missingness(df, features, 1.0).select(F.lit("missing").alias("metric"), F.col("feature").alias("key"), F.col("missing").alias("value"))
     cats = df.groupBy(F.coalesce(F.col(category).cast("string"), F.lit("missing")).alias("key")).agg(F.count(F.lit(1)).alias("value")).select(F.lit(category).alias("metric"), "key", "value")
     return top.unionByName(miss).unionByName(cats)
+
+
+def without_columns(df: DataFrame, names: list[str], pattern: str | None = None) -> DataFrame:
+    """df without some columns (those it lacks don't matter); raises if a column that matches the pattern is left."""
+    out = df.drop(*names)
+    left = [c for c in out.columns if pattern and re.search(pattern, c)]
+    if left:
+        raise ContractError(f"columns match {pattern}: {', '.join(left)}")
+    return out
+
+
+def preferred_first(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df with these columns first, as far as it has them, and all others after them in their own order."""
+    first = [c for c in columns if c in df.columns]
+    return df.select(*first, *[c for c in df.columns if c not in first])
+
+
+def release_gates(expected: DataFrame, observed: DataFrame, forbidden: str = r"(^|_)(truth|label)($|_)") -> DataFrame:
+    """(gate, n, examples) of a release: artifacts missing, unexpected, listed twice, with other rows or another digest, with an absolute path, or with columns that a release may not have.
+
+    expected: name, rows, sha256. observed: also path and columns (an array). A release may go out if every n is 0.
+    """
+    e, o = expected.select("name", F.col("rows").alias("_er"), F.col("sha256").alias("_es")), observed
+    both = e.join(o.select("name", "rows", "sha256"), "name")
+    gates = {
+        "missing": e.join(o, "name", "left_anti"),
+        "unexpected": o.join(e, "name", "left_anti"),
+        "listed_twice": o.groupBy("name").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"),
+        "rows": both.where(~F.col("rows").eqNullSafe(F.col("_er"))),
+        "digest": both.where(~F.col("sha256").eqNullSafe(F.col("_es"))),
+        "absolute_path": o.where(F.col("path").rlike(r"^([A-Za-z]:)?[/\\\\]")),
+        "forbidden_columns": o.where(F.exists("columns", lambda c: c.rlike(forbidden))),
+    }
+    out = None
+    for gate, bad in gates.items():
+        v = _violations(bad.select(F.col("name").alias("_k")), gate, "_k").withColumnRenamed("check", "gate")
+        out = v if out is None else out.unionByName(v)
+    return out
+
+
+def checked_cutoffs(contact: float, **within: float) -> None:
+    """Raise unless all cutoffs are finite and above 0, and none is beyond that of contacts."""
+    for name, v in {"contact": contact, **within}.items():
+        if not math.isfinite(v) or v <= 0:
+            raise ContractError(f"{name} cutoff must be finite and above 0")
+        if v > contact:
+            raise ContractError(f"{name} cutoff is beyond that of contacts")

@@ -30,12 +30,12 @@ def empty_reason(a: Column, b: Column) -> Column:
 
 def pair_similarity(df: DataFrame, group: str, key: str, sets: str, carry: list[str]) -> DataFrame:
     """Pairs with the Jaccard index of their sets of (ra, rb), of each side's projection, and the mean of the two."""
-    p = within_groups(df, group, key, [*carry, sets])
+    side = lambda f: F.array_distinct(F.transform(F.col(sets), lambda c: c[f]))
+    p = within_groups(df.withColumns({"_ra": side("ra"), "_rb": side("rb")}), group, key, [*carry, sets, "_ra", "_rb"])
     a, b = F.col(f"a_{sets}"), F.col(f"b_{sets}")
-    side = lambda x, f: F.array_distinct(F.transform(x, lambda c: c[f]))
-    ja, jb = jaccard(side(a, "ra"), side(b, "ra")), jaccard(side(a, "rb"), side(b, "rb"))
+    ja, jb = jaccard(F.col("a__ra"), F.col("b__ra")), jaccard(F.col("a__rb"), F.col("b__rb"))
     p = p.withColumns({"n_a": F.size(a).cast("long"), "n_b": F.size(b).cast("long"), "n_both": F.size(F.array_intersect(a, b)).cast("long"), "jaccard": jaccard(a, b), "jaccard_side_a": ja, "jaccard_side_b": jb, "jaccard_sides": (ja + jb) / 2, "reason": empty_reason(a, b)})
-    return p.withColumn("valid", F.col("jaccard").isNotNull()).drop(f"a_{sets}", f"b_{sets}")
+    return p.withColumn("valid", F.col("jaccard").isNotNull()).drop(f"a_{sets}", f"b_{sets}", "a__ra", "b__ra", "a__rb", "b__rb")
 
 
 def directed(pairs: DataFrame, group: str, key: str, carry: list[str], symmetric: list[str]) -> DataFrame:
@@ -45,18 +45,34 @@ def directed(pairs: DataFrame, group: str, key: str, carry: list[str], symmetric
     return one.unionByName(two)
 
 
-def pair_features(pairs: DataFrame, group: str, key: str, score: str, seed: str, weight: str) -> DataFrame:
-    """Features of each candidate from its pairs, in one aggregate: similarity to all, to the same weight across seeds, to the same seed across weights, the highest, the share of valid pairs, and the similarity-weighted mean of the others' score."""
-    d = directed(pairs, group, key, [score, seed, weight], ["jaccard"])
+def pair_features(pairs: DataFrame, group: str, key: str, score: str, seed: str, weight: str, means: dict[str, str] | None = None, second: str | None = None) -> DataFrame:
+    """Features of each candidate from its pairs, in one aggregate.
+
+    Similarity to all (mean, median, highest, mean of the three highest), to the same weight across seeds, to the same
+    seed across weights, to other weights; valid pairs and their share; the similarity-weighted mean of the others'
+    score (and of a second one); and the mean of further symmetric columns, null where a pair has none: means maps a
+    feature's name to a column.
+    """
+    means = means or {}
+    scores = [score, *([second] if second else [])]
+    d = directed(pairs, group, key, [*scores, seed, weight], ["jaccard", *[c for c in dict.fromkeys(means.values()) if c != "jaccard"]])
     j = F.col("jaccard")
     same_w, same_s = F.col(f"self_{weight}") == F.col(f"other_{weight}"), F.col(f"self_{seed}") == F.col(f"other_{seed}")
+    top = F.slice(F.sort_array(F.collect_list(j), asc=False), 1, 3)
+    weighted = lambda s: F.try_divide(F.sum(j * F.col(f"other_{s}")), F.sum(j))
     return d.groupBy(group, F.col(f"self_{key}").alias(key)).agg(
         F.avg("jaccard").alias("mean_j"),
+        F.median("jaccard").alias("median_j"),
+        F.try_divide(F.aggregate(top, F.lit(0.0), lambda a, x: a + x), F.nullif(F.size(top), F.lit(0))).alias("top3_j"),
         F.avg(F.when(same_w & ~same_s, j)).alias("mean_j_across_seeds"),
         F.avg(F.when(same_s & ~same_w, j)).alias("mean_j_across_weights"),
+        F.avg(F.when(~same_w, j)).alias("mean_j_other_weights"),
         F.max("jaccard").alias("max_j"),
         F.avg(j.isNotNull().cast("double")).alias("valid_share"),
-        F.try_divide(F.sum(j * F.col(f"other_{score}")), F.sum(j)).alias("weighted_score"),
+        F.count("jaccard").alias("valid_pairs"),
+        weighted(score).alias("weighted_score"),
+        *([weighted(second).alias("weighted_second")] if second else []),
+        *[F.avg(c).alias(n) for n, c in means.items()],
         F.count(F.lit(1)).alias("pairs"),
     )
 

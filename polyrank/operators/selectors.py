@@ -48,13 +48,16 @@ def gated(df: DataFrame, gate: str, below: float, feature: str, group: str, rank
 
 
 def battery(df: DataFrame, scores: dict[str, str], truth: str, group: str, rank: str, ties: list[str]) -> DataFrame:
-    """The picks of many selectors, one under another, with the selector's name: each score, rank-1 and the oracle."""
-    picks = [top1(df, s, group, ties).withColumn("selector", F.lit(n)) for n, s in scores.items()]
-    picks += [rank1(df, rank).withColumn("selector", F.lit("rank1")), oracle(df, truth, group, rank, ties, None).withColumn("selector", F.lit("oracle"))]
-    out = picks[0]
-    for p in picks[1:]:
-        out = out.unionByName(p)
-    return out
+    """The picks of many selectors, one under another, with the selector's name: each score, rank-1 and the oracle.
+
+    All come from one aggregate by group: the greatest of a score and the smallest ties is a minimum over structs.
+    """
+    row = F.struct(*df.columns).alias("row")
+    orders = {n: F.struct(F.col(s).isNull(), -F.col(s), *ties) for n, s in {**scores, "oracle": truth}.items()}
+    first = {n: F.min_by(row, o) for n, o in orders.items()} | {"rank1": F.min_by(row, F.when(F.col(rank) == 1, F.struct(F.lit(0), *ties)))}
+    picks = df.groupBy(F.col(group).alias("_g")).agg(*[c.alias(n) for n, c in first.items()])
+    long = picks.select(F.explode(F.array(*[F.struct(F.lit(n).alias("selector"), F.col(n).alias("row")) for n in first])).alias("x"))
+    return long.where("x.row is not null").select("x.row.*", "x.selector")
 
 
 def combo(df: DataFrame, columns: list[str], group: str, ties: list[str]) -> DataFrame:

@@ -32,30 +32,19 @@ def keep_first(df: DataFrame, keys: list[str], *order) -> DataFrame:
 
 
 def levels_long(df: DataFrame, key: str, levels: dict) -> DataFrame:
-    """(level, value, key): each row's identity at each level; missing identities never match."""
+    """(level, value, key): each row's identity at each level; missing identities never match. Long identities are best given as digests."""
     rows = F.array(*[F.struct(F.lit(n).alias("level"), c.cast("string").alias("value")) for n, c in levels.items()])
     return df.select(F.col(key).cast("string").alias("key"), F.explode(rows).alias("x")).select("key", "x.level", "x.value").where("value is not null")
 
 
-def _shared(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.select("level", "value").distinct().join(b.select("level", "value").distinct(), ["level", "value"])
-
-
 def overlap_audit(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(level, value, n_a, n_b, ids_a, ids_b) for identities that occur on both sides of two ``levels_long`` tables.
+    """(level, value, side, id, n_a, n_b): a row for each id, on side a or b, of an identity that occurs on both sides of two ``levels_long`` tables.
 
-    All ids are listed, so that a row grows with its value's group; ``overlap_ids`` has them in rows of their own.
+    Every id is listed, and no row grows with its identity's group; n_a and n_b are the group's ids on each side.
     """
-    side = lambda df, s: df.groupBy("level", "value").agg(F.count_distinct("key").alias(f"n_{s}"), F.array_join(F.array_sort(F.collect_set("key")), ";").alias(f"ids_{s}"))
-    shared = _shared(a, b)
-    return side(a.join(shared, ["level", "value"]), "a").join(side(b.join(shared, ["level", "value"]), "b"), ["level", "value"])
-
-
-def overlap_ids(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(level, value, side, id): one row for each id, on side a or b, of an identity that occurs on both; no row grows with its group."""
-    shared = _shared(a, b)
-    side = lambda df, s: df.join(shared, ["level", "value"]).select("level", "value", F.lit(s).alias("side"), F.col("key").alias("id")).distinct()
-    return side(a, "a").unionByName(side(b, "b"))
+    both = a.withColumn("side", F.lit("a")).unionByName(b.withColumn("side", F.lit("b"))).distinct()
+    n = both.groupBy("level", "value").agg(F.count_if(F.col("side") == "a").alias("n_a"), F.count_if(F.col("side") == "b").alias("n_b")).where("n_a > 0 and n_b > 0")
+    return both.join(n, ["level", "value"]).select("level", "value", "side", F.col("key").alias("id"), "n_a", "n_b")
 
 
 def overlap_counts(a: DataFrame, b: DataFrame, levels: list[str]) -> DataFrame:

@@ -2,38 +2,67 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from collections.abc import Callable
+from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import bootstrap, contracts, selectors, sets, stats
-from ..roles import DEFAULT, Roles
+from ..roles import ACCEPTABLE, DEFAULT, Roles
 from . import models
 
 
 @dataclass(frozen=True)
 class Config:
+    """What a run is: every field has its range, and an unknown one is refused."""
+
     features: tuple[str, ...]
     loss: str = "ridge_logistic"
     preprocessing: str = "zscore"
     penalty: float = 1.0
-    replicates: int = 200
+    replicates: int = 2000
     max_missing: float = 0.2
+    name: str = "model"
+    threshold: float = ACCEPTABLE
+    reference: str = DEFAULT.score
+    folds: tuple[int, ...] | None = None
+    group_size: int | None = None
 
     def __post_init__(self) -> None:
-        if not self.features or len(set(self.features)) != len(self.features):
-            raise ValueError("features must be there and differ")
-        if self.loss not in models.LOSSES or self.preprocessing not in ("zscore", "within_rank"):
-            raise ValueError("unknown loss or preprocessing")
-        if self.penalty < 0 or self.replicates < 1 or not 0 <= self.max_missing <= 1:
-            raise ValueError("penalty, replicates or max_missing out of range")
+        checks = {
+            "features must be there, be names, and differ": self.features and all(isinstance(f, str) and f for f in self.features) and len(set(self.features)) == len(self.features),
+            "unknown loss": self.loss in models.LOSSES,
+            "unknown preprocessing": self.preprocessing in ("zscore", "within_rank"),
+            "penalty must be finite and not below 0": math.isfinite(self.penalty) and self.penalty >= 0,
+            "replicates and group_size must be above 0": min(self.replicates, 1 if self.group_size is None else self.group_size) >= 1,
+            "max_missing must be from 0 to 1": 0 <= self.max_missing <= 1,
+            "threshold must be from 0 to 1": 0 <= self.threshold <= 1,
+            "name and reference must be there": bool(self.name and self.reference),
+            "folds must differ and be two at least": self.folds is None or len(set(self.folds)) == len(self.folds) >= 2,
+        }
+        broken = [text for text, ok in checks.items() if not ok]
+        if broken:
+            raise ValueError("; ".join(broken))
+
+    @classmethod
+    def from_dict(cls, d: dict) -> Config:
+        known = {f.name for f in fields(cls)}
+        unknown = sorted(set(d) - known)
+        if unknown or "features" not in d:
+            raise ValueError(f"unknown fields: {unknown}" if unknown else "features are missing")
+        return cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in d.items()})
 
 
 def validate(df: DataFrame, config: Config, roles: Roles = DEFAULT) -> DataFrame:
     """df, once its contracts hold: columns, unique keys, missing values, both classes in every fold."""
     contracts.require_columns(df, [roles.group, roles.key, roles.score, roles.truth, roles.fold, *config.features])
     contracts.require(contracts.duplicate_keys(df, [roles.group, roles.key]))
+    if config.group_size is not None:
+        contracts.require(contracts.group_size(df, roles.group, config.group_size))
+    if config.folds is not None:
+        contracts.require(contracts.fold_integrity(df, roles.group, roles.fold, list(config.folds)))
     bad = contracts.missingness(df, [*config.features], config.max_missing).where("not ok").collect()
     if bad:
         raise contracts.ContractError("too many missing values: " + ", ".join(r["feature"] for r in bad))
@@ -88,3 +117,18 @@ def ablation(df: DataFrame, feature_sets: dict[str, list[str]], roles: Roles = D
         row = c.crossJoin(s).withColumn("features", F.lit(name))
         out = row if out is None else out.unionByName(row)
     return out
+
+
+def reproduce(df: DataFrame, holdout: DataFrame, levels: Callable[[DataFrame], DataFrame], strict: list[str], config: Config, roles: Roles = DEFAULT) -> DataFrame:
+    """A whole run: train on one cohort, then predict and evaluate another, once the overlap gate has let it pass.
+
+    (stage, metric, value) rows: out-of-fold and holdout metrics of the model and of the reference, and the model's weights.
+    """
+    roles = replace(roles, threshold=config.threshold, score=config.reference)
+    model, oof = train(df, config, roles)
+    stages = {"out_of_fold": evaluate(oof, roles, config.replicates), "holdout": evaluate_holdout(holdout, levels(df), levels(holdout), strict, model, roles, config.replicates)}
+    out = df.sparkSession.createDataFrame([("model", n, float(w)) for n, w in [("intercept", model.intercept), *zip(config.features, model.weights, strict=True)]], "stage string, metric string, value double")
+    for stage, one in stages.items():
+        cells = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in one.columns])
+        out = out.unionByName(one.select(F.explode(cells).alias("x")).select(F.lit(stage).alias("stage"), "x.metric", "x.value"))
+    return out

@@ -41,6 +41,6 @@ def test_equal_to_sql(spark, duck, name):
     assert table(df.collect(), df.columns) == table(got.fetchall(), names)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL) - {"ablation", "system_risk", "oof_predictions"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_rows_without_sql(spark, name):
     assert len(QUERIES[name](spark, SF).collect()) > 0
