@@ -44,14 +44,21 @@ def shared_dir(spark: SparkSession) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table written once in the shared folder: cuts lineage, survives lost executors, computed once however often it is read."""
+#: For rows of megabytes that are compressed already: a writer that looks at its pages' and row groups' size after every row.
+_PACKED = {"compression": "uncompressed", "parquet.enable.dictionary": "false", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1", "parquet.block.size": str(16 << 20)}
+
+
+def written(df: DataFrame, name: str, packed: bool = False) -> DataFrame:
+    """df as a table written once in the shared folder: cuts lineage, survives lost executors, computed once however often it is read.
+
+    packed: its rows are large and compressed.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**(_PACKED if packed else {})).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
     remember(spark, path)

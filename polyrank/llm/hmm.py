@@ -6,47 +6,53 @@ for each block and bucket), and each bucket sends back the totals.
 
 Every word has emissions of its own. They are never gathered in one place: a word's expected counts by state
 belong to its bucket. In a round of Baum-Welch each bucket adds up what the blocks expect of its words and answers
-each block with its words' sums (64-bit counts of 1 / UNIT, so that they don't depend on the order of adding); each block runs the scaled forward and backward recursions over its texts, all
-texts of a batch step by step together, and sends the new expected counts of its words. The driver holds the steps
-between states and each state's total. A state's emission of a word is (e + 1 / states) / (all of the state's
-e + 1 / states, and 1 / states for words never seen), so that one state alone gives the base score.
+each block with its words' sums (64-bit counts of 1 / UNIT, so that they don't depend on the order of adding); each
+block runs the scaled forward and backward recursions over its texts, all texts of a batch step by step together, and
+sends the new expected counts of its words. The driver holds the steps between states and each state's total. A state's
+emission of a word is (e + 1 / states) / (all of the state's e + 1 / states, and 1 / states for words never seen), so
+that one state alone gives the base score.
 Rounds go on until the training texts' log10 likelihood a token gains less than ``GAIN``.
-Scores are from the scaled forward recursion in double precision.
 
-``class_sequences`` and ``baum_welch`` are the smaller model over word classes that the driver can hold: a word that
-makes up at least 1 / FREQUENT of the training tokens is a class of its own, all others share SUFFIXES classes by
-their last two bytes. The query does not use them.
+A text of more than SEGMENT tokens is cut. The matrix of a segment's steps gives the forward vector at its start and the
+backward vector at its end from those of its neighbours, exactly; the segments then run beside those of other texts, so
+that neither the number of steps nor the memory of a batch depends on the longest text.
+Scores are from the scaled forward recursion in double precision; training uses single precision, with each word's
+emissions scaled by their largest, and adds up in whole numbers.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, drop_table, n_rows_bytes, written
+from .common import documents, drop_table, n_rows_bytes, pack, powers, unpack, written
+from .gsaca import _flat
 
 FOLD, HELD = 7, 2
-FREQUENT, SUFFIXES = 6_000, 1_024
-STATES, ROUNDS, SEED = 8, 4, 11
+STATES, SEED = 8, 11
 #: Expected counts are summed in whole parts of 1 / UNIT.
 UNIT = 1 << 16
 #: Training ends with the first round that gains less than this in log10 likelihood a token.
 GAIN = 1e-3
-#: Pseudo-tokens of the class distribution in each state's emissions, and pseudo-steps in its transitions.
-SMOOTH, STAY = 200.0, 5.0
+#: Pseudo-steps in the transitions of each state.
+STAY = 5.0
 BLOCK_BYTES, BUCKET_BYTES, MOST_BUCKETS = 8 << 20, 8 << 20, 65_536
-#: Tokens that a task runs through together.
-BATCH_TOKENS = 500_000
+#: Tokens that a task runs through together, those of a segment, and steps from one scaling to the next.
+BATCH_TOKENS, SEGMENT, EVERY = 300_000, 2048, 8
+#: Bytes that are cut into words together.
+PIECE = 1 << 20
 END = b""
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = np.arange(256, dtype=np.uint64) + np.uint64(1)
+_LOWER[65:91] += np.uint64(32)
 
 
 def tokens(raw: bytes) -> list[bytes]:
@@ -59,221 +65,187 @@ def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % FOLD == HELD
 
 
-def pack(a: np.ndarray) -> bytes:
-    return pa.compress(np.ascontiguousarray(a).tobytes(), codec="zstd", asbytes=True) if len(a) else b""
-
-
-def unpack(b: bytes, n: int, dtype) -> np.ndarray:
-    return np.frombuffer(pa.decompress(b, n * np.dtype(dtype).itemsize, codec="zstd", asbytes=True), dtype) if n else np.empty(0, dtype)
+def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hashes of all texts' tokens, one text after the other, and the number of each text's tokens."""
+    raw = b" ".join(texts) + b" "
+    starts = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+    hashes, at, cut = [], [], 0
+    while cut < len(raw):
+        stop = raw.rfind(b" ", cut, cut + PIECE) + 1 or raw.find(b" ", cut) + 1  # a piece ends after a space
+        a = np.frombuffer(raw, np.uint8, stop - cut, cut)
+        edge = np.flatnonzero(np.diff(_SPACE[a], prepend=True, append=True))
+        first, end = edge[::2], edge[1::2]
+        power, inverse = powers(len(a))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_LOWER[a] * power[: len(a)])))
+        hashes.append(_mixed((sums[end] - sums[first]) * inverse[first]))
+        at.append(first + cut)
+        cut = stop
+    words, at = np.concatenate(hashes), np.concatenate(at)
+    of = np.searchsorted(starts, at, side="right") - 1
+    n = np.bincount(of, minlength=len(texts)) + 1
+    out = np.full(n.sum(), _mixed(np.zeros(1, np.uint64))[0])  # the end's, a word of no bytes
+    out[np.arange(len(words)) + of] = words
+    return out, n
 
 
 _L, _I, _B = pa.int64(), pa.int32(), pa.binary()
-#: kind 0: a document (n tokens, data: local numbers of its tokens). kind 1: a block's words in a bucket (data: hashes, extra: counts, codes and local numbers).
-BLOCKS = pa.schema([("kind", _I), ("blk", _L), ("p", _L), ("doc_id", _L), ("n", _I), ("data", _B), ("extra", _B)])
-#: kind 0: what a bucket answers a block. kind 1: a bucket's sums: n tokens, known words, extra: frequent words' hashes. kind 2: data: sums of c + 1 by code.
-ANSWERS = pa.schema([("kind", _I), ("blk", _L), ("p", _L), ("n", _I), ("known", _L), ("tokens", _L), ("data", _B), ("extra", _B)])
-CLASSES = pa.schema([("doc_id", _L), ("n_tokens", _L), ("n_known", _L), ("base_score", pa.float64()), ("share_score", pa.float64()), ("classes", _B)])
-_WORD = np.dtype([("count", np.int64), ("code", np.uint16), ("at", np.int32)])
+#: kind 0: a block's n documents (data: local numbers of their tokens, extra: ids, mask: is there an id, sizes: tokens of each). kind 1: a block's n words in a bucket (data: hashes, extra: counts).
+BLOCKS = pa.schema([("kind", _I), ("blk", _L), ("p", _L), ("n", _L), ("data", _B), ("extra", _B), ("mask", _B), ("sizes", _B)])
+#: A block's words of a bucket (n words, ids: their numbers in the bucket, data: sums by word and state in 1 / UNIT). p -1: rest has whole-number sums of a block or bucket, which Spark adds up.
+SUMS = pa.schema([("blk", _L), ("p", _L), ("n", _I), ("ids", _B), ("data", _B), ("counts", _B), ("rest", pa.list_(_L))])
+#: A block's n documents, all columns packed.
+TEXTS = pa.schema([("blk", _L), ("n", _L), ("ids", _B), ("mask", _B), ("sizes", _B), ("known", _B), ("base", _B), ("data", _B)])
+SCORES = pa.schema([("doc_id", _L), ("n_tokens", _L), ("n_known", _L), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
 def _ddl(schema: pa.Schema) -> str:
-    return ", ".join(f"{f.name} {'double' if f.type == pa.float64() else {_L: 'long', _I: 'int', _B: 'binary'}[f.type]}" for f in schema)
+    return ", ".join(f"{f.name} {'double' if f.type == pa.float64() else {_L: 'long', _I: 'int', _B: 'binary', pa.list_(_L): 'array<long>'}[f.type]}" for f in schema)
 
 
-def suffix_code(word: bytes) -> int:
-    return zlib.crc32(word[-2:]) % SUFFIXES
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.Table.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
 
 
 def encode_block(table: pa.Table, buckets: int) -> pa.Table:
     """A block's documents as local word numbers, and its words for each bucket; numbers go by bucket."""
-    blk, number, texts = table.column("blk")[0].as_py(), {}, []
-    doc_ids = table.column("doc_id").to_pylist()
-    for raw in table.column("raw").to_pylist():
-        texts.append(np.array([number.setdefault(t, len(number)) for t in tokens(raw or b"")], np.int32))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number))
-    p = (hashes % np.uint64(buckets)).astype(np.int64)
+    table = table.sort_by("doc_id")
+    blk, ids = table.column("blk")[0].as_py(), table.column("doc_id")
+    hashes, n = token_hashes([x or b"" for x in table.column("raw").to_pylist()])
+    u, number = np.unique(hashes, return_inverse=True)
+    p = (u % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(p, kind="stable")
-    place = np.empty(len(number), np.int32)
-    place[order] = np.arange(len(number))
-    texts = [place[at] for at in texts]
-    rows = [(0, blk, -1, doc_id, len(at), pack(at), b"") for doc_id, at in zip(doc_ids, texts, strict=True)]
-    counts = [at for doc_id, at in zip(doc_ids, texts, strict=True) if not held_out(doc_id)]
-    words = np.zeros(len(number), _WORD)
-    words["count"] = np.bincount(np.concatenate(counts) if counts else np.empty(0, np.int32), minlength=len(number))
-    words["at"] = np.arange(len(number))
-    words["code"] = np.array([suffix_code(w) for w in number])[order]
-    hashes, p = hashes[order], p[order]
-    for own in np.split(np.arange(len(number)), np.flatnonzero(np.diff(p)) + 1):
-        rows.append((1, blk, int(p[own[0]]), None, len(own), hashes[own].tobytes(), pack(words[own])))
-    return pa.Table.from_pylist([dict(zip(BLOCKS.names, r, strict=True)) for r in rows], BLOCKS)
-
-
-def answer(table: pa.Table, frequent_from: float) -> pa.Table:
-    """A bucket's totals, for each block its words' part; and the bucket's own sums."""
-    n = table.column("n").to_pylist()
-    hashes = np.concatenate([np.frombuffer(b, np.uint64) for b in table.column("data").to_pylist()])
-    words = np.concatenate([unpack(b, k, _WORD) for b, k in zip(table.column("extra").to_pylist(), n, strict=True)])
-    u, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-    total = np.bincount(inverse, words["count"]).astype(np.int64)
-    frequent = total >= frequent_from
-    p, rows, start = table.column("p")[0].as_py(), [], 0
-    out = words.copy()
-    out["count"] = total[inverse]
-    for blk, k in zip(table.column("blk").to_pylist(), n, strict=True):
-        own = slice(start, start + k)
-        top = np.flatnonzero(frequent[inverse[own]])
-        rows.append((0, blk, p, k, 0, 0, pack(out[own]), np.concatenate((top.astype(np.uint64), hashes[own][top])).tobytes()))
-        start += k
-    known = total > 0
-    rows.append((1, -1, p, int(frequent.sum()), int(known.sum()), int(total.sum()), total[frequent].tobytes(), u[frequent].tobytes()))
-    rare = known & ~frequent
-    sums = np.bincount(words["code"][first][rare], total[rare] + 1, SUFFIXES)
-    rows.append((2, -1, p, 0, 0, 0, sums.tobytes(), b""))
-    return pa.Table.from_pylist([dict(zip(ANSWERS.names, r, strict=True)) for r in rows], ANSWERS)
-
-
-@dataclass
-class Vocabulary:
-    """What is known of all words together. Classes: suffix codes, then frequent words in the order of ``frequent`` (hashes, ascending)."""
-
-    tokens: int
-    known: int
-    frequent: np.ndarray
-    frequent_counts: np.ndarray
-    rare_sums: np.ndarray
-
-    @property
-    def masses(self) -> np.ndarray:
-        """All c + 1 of each class, and 1 more for unseen words with each suffix."""
-        return np.concatenate((self.rare_sums + 1, self.frequent_counts + 1.0))
-
-
-def class_block(docs: pa.Table, answers: pa.Table, v: Vocabulary) -> pa.Table:
-    """A block's documents as class numbers, with the scores that don't depend on the model's states."""
-    if not docs.num_rows:
-        return CLASSES.empty_table()
-    rows, size = [], sum(answers.column("n").to_pylist())
-    count, code = np.zeros(size, np.int64), np.zeros(size, np.int64)
-    for k, data, extra in zip(*(answers.column(c).to_pylist() for c in ("n", "data", "extra")), strict=True):
-        words = unpack(data, k, _WORD)
-        count[words["at"]], code[words["at"]] = words["count"], words["code"]
-        top = np.frombuffer(extra, np.uint64).reshape(2, -1)
-        code[words["at"][top[0].astype(np.int64)]] = SUFFIXES + np.searchsorted(v.frequent, top[1])
-    base = np.log10((count + 1) / (v.tokens + v.known + 1))
-    share = np.log10((count + 1) / v.masses[code])
-    for doc_id, n, data in zip(*(docs.column(c).to_pylist() for c in ("doc_id", "n", "data")), strict=True):
-        at = unpack(data, n, np.int32)
-        rows.append((doc_id, n, int((count[at] > 0).sum()), math.fsum(base[at]), math.fsum(share[at]), pack(code[at].astype(np.uint16))))
-    return pa.Table.from_pylist([dict(zip(CLASSES.names, r, strict=True)) for r in rows], CLASSES)
+    place = np.empty(len(u), np.int32)
+    place[order] = np.arange(len(u))
+    number, u, p = place[number], u[order], p[order]
+    train = np.array([not held_out(i) for i in ids.to_pylist()])
+    counts = np.bincount(number[np.repeat(train, n)], minlength=len(u))
+    rows = [(0, blk, -1, len(n), pack(number), pack(ids.fill_null(0).to_numpy()), pack(ids.is_valid().to_numpy().astype(np.uint8)), pack(n))]
+    for own in np.split(np.arange(len(u)), np.flatnonzero(np.diff(p)) + 1):
+        rows.append((1, blk, int(p[own[0]]), len(own), u[own].tobytes(), pack(counts[own]), b"", b""))
+    return _table(rows, BLOCKS)
 
 
 @dataclass
 class Hmm:
     start: np.ndarray
     step: np.ndarray
-    emit: np.ndarray  # state, class
+    emit: np.ndarray  # state, word
 
     @classmethod
     def fresh(cls, masses: np.ndarray, states: int = STATES, seed: int = SEED) -> Hmm:
         """States that stay, with random leanings; the seed fixes them."""
         rng = np.random.default_rng(seed)
         emit = masses * np.exp(rng.normal(0, 1, (states, len(masses))))
-        step = np.full((states, states), 0.05 / max(1, states - 1))
-        np.fill_diagonal(step, 0.95 if states > 1 else 1.0)
-        return cls(np.full(states, 1 / states), step, emit / emit.sum(1, keepdims=True))
-
-    def run(self, seqs: list[np.ndarray], learn: bool = False):
-        """log10 likelihood of each sequence (none is empty); with learn also the expected counts of starts, steps and emissions."""
-        order = np.argsort([-len(s) for s in seqs], kind="stable")
-        lengths = np.array([len(seqs[i]) for i in order])
-        alive = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")  # sequences longer than t
+        return cls(np.full(states, 1 / states), first_steps(states), emit / emit.sum(1, keepdims=True))
+
+    def run(self, seqs: list[np.ndarray], learn: bool = False, kind: type = np.float64):
+        """log10 likelihood of each sequence (none is empty); with learn also the expected counts of starts, steps and emissions. kind: the recursions' precision."""
+        k, parts = len(self.start), [s[i : i + SEGMENT] for s in seqs for i in range(0, len(s), SEGMENT)]
+        owner = np.repeat(np.arange(len(seqs)), [-(-len(s) // SEGMENT) for s in seqs])
+        first = np.diff(owner, prepend=-1) > 0
+        before, end = np.tile(self.start.astype(kind), (len(parts), 1)), np.ones((len(parts), k), kind)
+        largest = self.emit.max(0)
+        scaled, logs = np.ascontiguousarray((self.emit / largest).T, kind), np.log10(largest)
+        if len(parts) > len(seqs):
+            self._ends(parts, owner, first, before, end, scaled)
+        order = np.argsort([-len(s) for s in parts], kind="stable")
+        size = np.array([len(parts[i]) for i in order])
+        score = np.zeros(len(seqs))
+        starts, steps, emits = np.zeros(k), np.zeros((k, k)), np.zeros((k, self.emit.shape[1]))
+        for at in np.split(order, np.flatnonzero(np.diff(np.cumsum(size) // BATCH_TOKENS)) + 1):
+            own = [parts[i] for i in at]
+            got, *counts = self._batch(own, before[at], first[at], end[at], learn, scaled)
+            np.add.at(score, owner[at], got + [logs[p].sum() for p in own])
+            if learn:
+                starts += counts[0]
+                steps += counts[1]
+                emits += counts[2]
+        return (score, starts, steps * self.step, emits) if learn else score
+
+    def _layout(self, seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For sequences in descending length: how many are longer than t, where step t begins, and the tokens at step 0, at step 1, ..."""
+        lengths = np.array([len(s) for s in seqs])
+        alive = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
         off = np.concatenate(([0], np.cumsum(alive)))
-        flat = np.empty(off[-1], np.int64)  # the tokens at time 0, at time 1, ...
-        for i, s in enumerate(order.tolist()):
-            flat[off[: len(seqs[s])] + i] = seqs[s]
-        b = self.emit.T[flat]
-        a, scale = np.empty_like(b), np.empty(len(flat))
-        for t, n in enumerate(alive.tolist()):
-            x = a[off[t] : off[t] + n]
+        flat = np.empty(off[-1], np.int64)
+        flat[off[_flat(np.zeros(len(seqs), np.int64), lengths)] + np.repeat(np.arange(len(seqs)), lengths)] = np.concatenate(seqs)
+        return alive, off, flat
+
+    def _ends(self, parts: list[np.ndarray], owner: np.ndarray, first: np.ndarray, before: np.ndarray, end: np.ndarray, scaled: np.ndarray) -> None:
+        """Fill in, for segments of cut sequences: forward vectors of the token before, and backward vectors of the last token."""
+        cut = np.flatnonzero(np.bincount(owner)[owner] > 1)
+        matrix, k = {}, len(self.start)
+        order = cut[np.argsort([-len(parts[i]) for i in cut], kind="stable")]
+        n = max(1, BATCH_TOKENS // SEGMENT)
+        for i in range(0, len(order), n):
+            at = order[i : i + n].tolist()
+            alive, off, flat = self._layout([parts[j] for j in at])
+            b, step = scaled[flat], self.step.astype(scaled.dtype)
+            x = np.zeros((len(at), k, k), b.dtype)
+            x[:, np.arange(k), np.arange(k)] = b[: len(at)]
+            for t, m in enumerate(alive.tolist()):
+                if t:
+                    x[:m] = (x[:m].reshape(-1, k) @ step).reshape(m, k, k) * b[off[t] : off[t] + m, None]
+                if not t % EVERY:
+                    x[:m] /= x[:m].sum((1, 2))[:, None, None]
+            matrix |= dict(zip(at, x, strict=True))
+        for i in cut.tolist():
+            if not first[i]:
+                v = (before[i - 1] if first[i - 1] else before[i - 1] @ self.step) @ matrix[i - 1]
+                before[i] = v / v.sum()
+        for i in cut[::-1].tolist():
+            if not first[i]:
+                v = self.step @ (matrix[i] @ end[i])
+                end[i - 1] = v / v.sum()
+
+    def _batch(self, seqs: list[np.ndarray], before: np.ndarray, first: np.ndarray, end: np.ndarray, learn: bool, scaled: np.ndarray):
+        """As run, for segments in descending length. before: the start's probabilities of a first segment, else the forward vector of the token before."""
+        alive, off, flat = self._layout(seqs)
+        n, k, lengths = len(seqs), len(self.start), np.array([len(s) for s in seqs])
+        b, step = scaled[flat], self.step.astype(scaled.dtype)
+        a, scale, logs = np.empty_like(b), np.ones(len(flat), b.dtype), np.zeros(n)
+        ones = np.ones(k, b.dtype)
+        np.multiply(np.where(first[:, None], before, before @ step), b[:n], out=a[:n])
+        for t, m in enumerate(alive.tolist()):
+            x = a[off[t] : off[t] + m]
             if t:
-                np.dot(a[off[t - 1] : off[t - 1] + n], self.step, out=x)
-                x *= b[off[t] : off[t] + n]
-            else:
-                np.multiply(self.start, b[:n], out=x)
-            c = x.sum(1)
-            scale[off[t] : off[t] + n] = c
-            x /= c[:, None]
-        row = np.concatenate([np.arange(n) for n in alive.tolist()])
-        score = np.empty(len(seqs))
-        score[order] = np.bincount(row, np.log10(scale), len(seqs))
+                np.dot(a[off[t - 1] : off[t - 1] + m], step, out=x)
+                x *= b[off[t] : off[t] + m]
+            if not t % EVERY:
+                c = x @ ones
+                scale[off[t] : off[t] + m] = c
+                x *= (1 / c)[:, None]
+                logs[:m] += np.log10(c)
+        score = logs + np.log10(a[off[lengths - 1] + np.arange(n)] @ ones)
         if not learn:
-            return score
-        steps = np.zeros_like(self.step)
-        b /= scale[:, None]
-        back = np.ones((0, len(self.start)))
-        turned = np.ascontiguousarray(self.step.T)
+            return (score,)
+        turned, later = np.ascontiguousarray(step.T), 0
+        posterior = np.empty_like(a)
         for t in range(len(alive) - 1, -1, -1):
-            n, later = alive[t], len(back)
-            x = np.ones((n, len(self.start)))
-            here = a[off[t] : off[t] + n]
+            m = alive[t]
+            x = posterior[off[t] : off[t] + m]
+            x[later:] = end[later:m]
             if later:
-                ahead = b[off[t + 1] : off[t + 1] + later] * back
-                steps += here[:later].T @ ahead
-                np.dot(ahead, turned, out=x[:later])
-            here *= x  # the states' posterior
-            back = x
-        emits = np.stack([np.bincount(flat, a[:, s], self.emit.shape[1]) for s in range(len(self.start))])
-        return score, a[: alive[0]].sum(0), steps * self.step, emits
-
-    def updated(self, starts: np.ndarray, steps: np.ndarray, emits: np.ndarray, masses: np.ndarray) -> Hmm:
-        """The parameters that the expected counts make likeliest, with pseudo-counts."""
-        k = len(starts)
-        emit = emits + SMOOTH * masses / masses.sum()
-        step = steps + STAY / k
-        return Hmm((starts + 1) / (starts + 1).sum(), step / step.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
-
-
-def _batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
-    kept, size = [], 0
-    for b in batches:
-        for i in range(0, b.num_rows, 64):
-            part = b.slice(i, 64)
-            kept.append(part)
-            size += pa.compute.sum(part.column("n_tokens")).as_py()
-            if size > BATCH_TOKENS:
-                yield pa.Table.from_batches(kept)
-                kept, size = [], 0
-    if kept:
-        yield pa.Table.from_batches(kept)
-
-
-def _sequences(t: pa.Table) -> list[np.ndarray]:
-    return [unpack(c, n, np.uint16) for c, n in zip(t.column("classes").to_pylist(), t.column("n_tokens").to_pylist(), strict=True)]
-
-
-def baum_welch(seqs: DataFrame, masses: np.ndarray, rounds: int = ROUNDS, states: int = STATES) -> Hmm:
-    """Train on seqs (n_tokens, classes); every round reads every sequence. Without any, the fresh model stays."""
-    hmm = Hmm.fresh(masses, states)
-    names = [f"s{i}" for i in range(states)]
-    for _ in range(rounds):
-
-        def expect(batches: Iterable[pa.RecordBatch], hmm: Hmm = hmm) -> Iterator[pa.RecordBatch]:
-            total = None
-            for t in _batches(batches):
-                _, starts, steps, emits = hmm.run(_sequences(t), learn=True)
-                got = np.concatenate((emits.T, steps, starts[None]))
-                total = got if total is None else total + got
-            if total is not None:  # classes, then states, then the start
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), *(pa.array(np.ascontiguousarray(total[:, i])) for i in range(states))], ["k", *names])
-
-        counts = seqs.select("n_tokens", "classes").mapInArrow(expect, "k long, " + ", ".join(f"{n} double" for n in names))
-        rows = counts.groupBy("k").agg(*[F.sum(n).alias(n) for n in names]).orderBy("k").collect()
-        if not rows:
-            break
-        got = np.array([r[1:] for r in rows])
-        k = len(masses)
-        hmm = hmm.updated(got[-1], got[k : k + states], got[:k].T, masses)
-    return hmm
+                np.dot(b[off[t + 1] : off[t + 1] + later], turned, out=x[:later])
+            if not t % EVERY:
+                x *= (1 / (x @ ones))[:, None]
+            b[off[t] : off[t] + m] *= x  # emission and what follows
+            x *= a[off[t] : off[t] + m]
+            later = m
+        total = posterior @ ones
+        posterior *= (1 / total)[:, None]
+        total *= scale
+        b *= (1 / total)[:, None]
+        steps = a[_flat(off[:-2], alive[1:])].T @ b[n:] + before[~first].T @ b[:n][~first]
+        emits = np.stack([np.bincount(flat, posterior[:, s], self.emit.shape[1]) for s in range(k)])
+        return score, posterior[:n][first].sum(0), steps, emits
+
+
+def first_steps(states: int) -> np.ndarray:
+    """Transitions before the first round: states that stay."""
+    step = np.full((states, states), 0.05 / max(1, states - 1))
+    np.fill_diagonal(step, 0.95 if states > 1 else 1.0)
+    return step
 
 
 def encoded_blocks(docs: DataFrame) -> DataFrame:
@@ -282,37 +254,7 @@ def encoded_blocks(docs: DataFrame) -> DataFrame:
     blocks, buckets = max(1, -(-total // BLOCK_BYTES)), max(1, min(MOST_BUCKETS, -(-total // BUCKET_BYTES)))
     raw = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
     dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("blk"), F.col("doc_id").cast("long").alias("doc_id"), raw.alias("raw"))
-    return written(dealt.groupBy("blk").applyInArrow(lambda t: encode_block(t, buckets), _ddl(BLOCKS)), "encoded")
-
-
-def class_sequences(docs: DataFrame) -> tuple[DataFrame, Vocabulary]:
-    """One row per row of docs (see CLASSES), and the vocabulary of those not held out."""
-    encoded = encoded_blocks(docs)
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLD == HELD, F.lit(False))
-    n_tokens = encoded.where("kind = 0").where(~held).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    least = max(2.0, n_tokens / FREQUENT)
-    answers = written(encoded.where("kind = 1").groupBy("p").applyInArrow(lambda t: answer(t, least), _ddl(ANSWERS)), "answers")
-    sums = answers.where("kind = 1").select("n", "known", "tokens", "data", "extra").collect()
-    found = np.array(sorted((h, c) for r in sums for h, c in zip(np.frombuffer(r["extra"], np.uint64).tolist(), np.frombuffer(r["data"], np.int64).tolist(), strict=True)), dtype=object).reshape(-1, 2)
-
-    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = sum((np.frombuffer(x, np.float64) for b in batches for x in b.column(0).to_pylist()), np.zeros(SUFFIXES))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(SUFFIXES)), pa.array(total)], ["code", "total"])
-
-    rare = answers.where("kind = 2").select("data").mapInArrow(add, "code long, total double").groupBy("code").agg(F.sum("total").alias("total"))
-    rare_sums = np.zeros(SUFFIXES)
-    for r in rare.collect():
-        rare_sums[r["code"]] = r["total"]
-    v = Vocabulary(sum(r["tokens"] for r in sums), sum(r["known"] for r in sums), found[:, 0].astype(np.uint64), found[:, 1].astype(np.float64), rare_sums)
-    blocks_ = encoded.where("kind = 0").select("blk", "doc_id", "n", "data").groupBy("blk")
-    own = answers.where("kind = 0").select("blk", "n", "data", "extra").groupBy("blk")
-    return written(blocks_.cogroup(own).applyInArrow(lambda d, a: class_block(d, a, v), _ddl(CLASSES)), "classes"), v
-
-
-#: A block's words of a bucket (n words, ids: their numbers in the bucket, data: sums by word and state in 1 / UNIT). p -1: sums of a block or bucket as doubles.
-SUMS = pa.schema([("blk", _L), ("p", _L), ("n", _I), ("ids", _B), ("data", _B), ("counts", _B)])
-TEXTS = pa.schema([("blk", _L), ("doc_id", _L), ("n_tokens", _I), ("n_known", _L), ("base_score", pa.float64()), ("data", _B)])
-SCORES = pa.schema([("doc_id", _L), ("n_tokens", _L), ("n_known", _L), ("base_score", pa.float64()), ("score", pa.float64())])
+    return written(dealt.groupBy("blk").applyInArrow(lambda t: encode_block(t, buckets), _ddl(BLOCKS)), "encoded", packed=True)
 
 
 def pack_sums(a: np.ndarray) -> bytes:
@@ -329,10 +271,6 @@ def _all_sums(table: pa.Table, states: int) -> np.ndarray:
     return np.concatenate([first_sums(p, unpack(ids, n, np.int32), unpack(counts, n, np.int64), states) if counts else unpack_sums(b, n, states) for p, n, ids, b, counts in rows])
 
 
-def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
-    return pa.Table.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     """splitmix64"""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -353,16 +291,16 @@ def start_bucket(table: pa.Table, states: int = STATES) -> pa.Table:
     table = table.sort_by("blk")
     n = table.column("n").to_pylist()
     hashes = np.concatenate([np.frombuffer(b, np.uint64) for b in table.column("data").to_pylist()])
-    own = np.concatenate([unpack(b, k, _WORD)["count"] for b, k in zip(table.column("extra").to_pylist(), n, strict=True)])
+    own = np.concatenate([unpack(b, k, np.int64) for b, k in zip(table.column("extra").to_pylist(), n, strict=True)])
     u, ids = np.unique(hashes, return_inverse=True)
     total = np.zeros(len(u), np.int64)
     np.add.at(total, ids, own)
     known = total > 0
     p = table.column("p")[0].as_py()
     first = first_sums(p, np.arange(len(u)), total, states)
-    rows = [(-1, -1, 0, b"", np.concatenate(((total.sum(), known.sum()), first.sum(0) / UNIT)).tobytes(), b"")]
+    rows = [(-1, -1, 0, b"", b"", b"", [int(total.sum()), int(known.sum()), *first.sum(0).tolist()])]
     for blk, at in zip(table.column("blk").to_pylist(), np.split(ids, np.cumsum(n)[:-1]), strict=True):
-        rows.append((blk, p, len(at), pack(at.astype(np.int32)), b"", pack(total[at])))
+        rows.append((blk, p, len(at), pack(at.astype(np.int32)), b"", pack(total[at]), None))
     return _table(rows, SUMS)
 
 
@@ -374,21 +312,21 @@ def sum_bucket(table: pa.Table, states: int = STATES) -> pa.Table:
     flat, p = np.concatenate(ids), table.column("p")[0].as_py()
     sums = np.zeros((flat.max() + 1, states), np.int64)
     np.add.at(sums, flat, _all_sums(table, states))
-    return _table([(blk, p, len(at), packed, pack_sums(sums[at]), b"") for blk, at, packed in zip(table.column("blk").to_pylist(), ids, table.column("ids").to_pylist(), strict=True)], SUMS)
+    return _table([(blk, p, len(at), packed, pack_sums(sums[at]), b"", None) for blk, at, packed in zip(table.column("blk").to_pylist(), ids, table.column("ids").to_pylist(), strict=True)], SUMS)
 
 
 def base_block(docs: pa.Table, sums: pa.Table, n_tokens: int, n_known: int) -> pa.Table:
     """A block's documents with the scores that don't depend on the model."""
     if not docs.num_rows:
         return TEXTS.empty_table()
-    sums = sums.sort_by("p")
+    sums, row = sums.sort_by("p"), docs.to_pylist()[0]
     count = np.concatenate([unpack(b, k, np.int64) for b, k in zip(sums.column("counts").to_pylist(), sums.column("n").to_pylist(), strict=True)])
     base = np.log10((count + 1) / (n_tokens + n_known + 1))
-    rows = []
-    for blk, doc_id, n, data in zip(*(docs.column(c).to_pylist() for c in ("blk", "doc_id", "n", "data")), strict=True):
-        at = unpack(data, n, np.int32)
-        rows.append((blk, doc_id, n, int((count[at] > 0).sum()), math.fsum(base[at]), data))
-    return _table(rows, TEXTS)
+    sizes = unpack(row["sizes"], row["n"], np.int64)
+    at = unpack(row["data"], int(sizes.sum()), np.int32)
+    own = np.split(base[at], np.cumsum(sizes)[:-1])
+    known = np.add.reduceat((count[at] > 0).astype(np.int64), np.cumsum(sizes) - sizes)
+    return _table([(row["blk"], row["n"], row["extra"], row["mask"], row["sizes"], pack(known), pack(np.array([math.fsum(x) for x in own])), row["data"])], TEXTS)
 
 
 @dataclass
@@ -406,61 +344,67 @@ class Words:
         return Hmm(self.start, self.step, emit.T)
 
 
+def _texts(docs: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray], dict]:
+    """A block's ids, which of them there are, tokens of each document, their word numbers, and the row itself."""
+    row = docs.to_pylist()[0]
+    sizes = unpack(row["sizes"], row["n"], np.int64)
+    words = unpack(row["data"], int(sizes.sum()), np.int32)
+    return unpack(row["ids"], row["n"], np.int64), unpack(row["mask"], row["n"], np.uint8).astype(bool), sizes, np.split(words, np.cumsum(sizes)[:-1]), row
+
+
 def learn_block(docs: pa.Table, sums: pa.Table, words: Words) -> pa.Table:
     """What a block's training texts expect of each of its words; and of starts, steps and states, with their likelihood and tokens."""
     if not docs.num_rows:
         return SUMS.empty_table()
     sums, states = sums.sort_by("p"), len(words.totals)
     hmm = words.block(sums)
-    emits, rest = np.zeros((states, hmm.emit.shape[1])), np.zeros(states + states**2 + states + 2)
-    train = docs.filter(pa.array([not held_out(i) for i in docs.column("doc_id").to_pylist()], pa.bool_())).sort_by([("n_tokens", "ascending"), ("doc_id", "ascending")])
-    for t in _batches(train.combine_chunks().to_batches()):
-        seqs = [unpack(d, n, np.int32) for d, n in zip(t.column("data").to_pylist(), t.column("n_tokens").to_pylist(), strict=True)]
-        score, starts, steps, got = hmm.run(seqs, learn=True)
-        emits += got
-        rest += np.concatenate((starts, steps.ravel(), np.zeros(states), (score.sum(), sum(map(len, seqs)))))
-    parts = np.rint(emits.T * UNIT).astype(np.int64)
-    rest[-2 - states : -2] = parts.sum(0) / UNIT
-    blk, rows, at = docs.column("blk")[0].as_py(), [], 0
-    for p, n, ids in zip(*(sums.column(c).to_pylist() for c in ("p", "n", "ids")), strict=True):
-        rows.append((blk, p, n, ids, pack_sums(parts[at : at + n]), b""))
+    ids, there, _, seqs, row = _texts(docs)
+    seqs = [s for i, t, s in zip(ids.tolist(), there.tolist(), seqs, strict=True) if not held_out(i if t else None)]
+    parts, rest = np.zeros((hmm.emit.shape[1], states), np.int64), np.zeros(2 * states + states**2 + 2, np.int64)
+    if seqs:
+        score, starts, steps, got = hmm.run(seqs, learn=True, kind=np.float32)
+        parts = np.rint(got.T * UNIT).astype(np.int64)
+        rest = np.concatenate((parts.sum(0), np.rint(np.concatenate((starts, steps.ravel(), (score.sum(),))) * UNIT).astype(np.int64), (sum(map(len, seqs)),)))
+    rows, at = [], 0
+    for p, n, numbers in zip(*(sums.column(c).to_pylist() for c in ("p", "n", "ids")), strict=True):
+        rows.append((row["blk"], p, n, numbers, pack_sums(parts[at : at + n]), b"", None))
         at += n
-    return _table([*rows, (blk, -1, 0, b"", rest.tobytes(), b"")], SUMS)
+    return _table([*rows, (row["blk"], -1, 0, b"", b"", b"", rest.tolist())], SUMS)
 
 
 def score_block(docs: pa.Table, sums: pa.Table, words: Words) -> pa.Table:
     if not docs.num_rows:
         return SCORES.empty_table()
-    hmm, out = words.block(sums.sort_by("p")), []
-    for t in _batches(docs.combine_chunks().to_batches()):
-        got = hmm.run([unpack(d, n, np.int32) for d, n in zip(t.column("data").to_pylist(), t.column("n_tokens").to_pylist(), strict=True)])
-        out.append(t.select(SCORES.names[:-1]).append_column("score", pa.array(got)).cast(SCORES))
-    return pa.concat_tables(out)
+    ids, there, sizes, seqs, row = _texts(docs)
+    score = words.block(sums.sort_by("p")).run(seqs)
+    return pa.table({"doc_id": pa.array(ids, mask=~there), "n_tokens": sizes, "n_known": unpack(row["known"], row["n"], np.int64), "base_score": unpack(row["base"], row["n"], np.float64), "score": score}, schema=SCORES)
+
+
+def added(table: DataFrame, n: int) -> np.ndarray:
+    """The sums of the n numbers in rest over all blocks or buckets."""
+    row = table.where("p < 0").agg(*[F.coalesce(F.sum(F.col("rest")[i]), F.lit(0)) for i in range(n)]).first()
+    return np.array(row, np.int64)
 
 
 def trained(docs: DataFrame, gain: float | None = None, states: int = STATES) -> tuple[DataFrame, DataFrame, Words, int, list[float]]:
     """Texts (see TEXTS), their words' sums by block and bucket, the model, training tokens, and log10 likelihood a token before each round."""
     gain = GAIN if gain is None else gain
     encoded = encoded_blocks(docs)
-    table = written(encoded.where("kind = 1").groupBy("p").applyInArrow(lambda t: start_bucket(t, states), _ddl(SUMS)), "sums")
-    told = [np.frombuffer(r[0]) for r in table.where("p < 0").select("data").collect()]
-    total = np.sum(told, 0) if told else np.zeros(2 + states)
-    n_tokens, n_known = int(sum(int(x[0]) for x in told)), int(total[1])
-    texts = written(encoded.where("kind = 0").groupBy("blk").cogroup(table.where("p >= 0").groupBy("blk")).applyInArrow(lambda d, a: base_block(d, a, n_tokens, n_known), _ddl(TEXTS)), "texts")
+    table = written(encoded.where("kind = 1").groupBy("p").applyInArrow(lambda t: start_bucket(t, states), _ddl(SUMS)), "sums", packed=True)
+    n_tokens, n_known, *total = added(table, 2 + states).tolist()
+    texts = written(encoded.where("kind = 0").groupBy("blk").cogroup(table.where("p >= 0").groupBy("blk")).applyInArrow(lambda d, a: base_block(d, a, n_tokens, n_known), _ddl(TEXTS)), "texts", packed=True)
     drop_table(encoded)
-    step = np.full((states, states), 0.05 / max(1, states - 1))
-    np.fill_diagonal(step, 0.95 if states > 1 else 1.0)
-    words, history = Words(np.full(states, 1 / states), step, total[2:] + (n_known + 1) / states), []
+    words, history = Words(np.full(states, 1 / states), first_steps(states), np.array(total) / UNIT + (n_known + 1) / states), []
     sums = table.where("p >= 0")
     while n_tokens:
         now = words
-        last, table = table, written(texts.groupBy("blk").cogroup(sums.groupBy("blk")).applyInArrow(lambda d, a: learn_block(d, a, now), _ddl(SUMS)), "sums")
+        last, table = table, written(texts.groupBy("blk").cogroup(sums.groupBy("blk")).applyInArrow(lambda d, a: learn_block(d, a, now), _ddl(SUMS)), "sums", packed=True)
         drop_table(last)
-        rest = np.sum([np.frombuffer(r[0]) for r in table.where("p < 0").orderBy("blk").select("data").collect()], 0)
-        starts, steps, totals, (score, n) = np.split(rest, np.cumsum((states, states**2, states)))
+        *rest, n = added(table, 2 * states + states**2 + 2).tolist()
+        totals, starts, steps, (score,) = np.split(np.array(rest) / UNIT, np.cumsum((states, states, states**2)))
         steps = steps.reshape(states, states) + STAY / states
         words = Words((starts + 1) / (starts + 1).sum(), steps / steps.sum(1, keepdims=True), totals + (n_known + 1) / states)
-        last, table = table, written(table.where("p >= 0").groupBy("p").applyInArrow(lambda t: sum_bucket(t, states), _ddl(SUMS)), "sums")
+        last, table = table, written(table.where("p >= 0").groupBy("p").applyInArrow(lambda t: sum_bucket(t, states), _ddl(SUMS)), "sums", packed=True)
         drop_table(last)
         sums = table
         history.append(score / n)

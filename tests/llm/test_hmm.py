@@ -45,6 +45,29 @@ def test_likelihood_and_counts_equal_the_sum_over_paths():
     assert np.allclose(m.run(seqs), score)
 
 
+def test_cut_sequences_equal_whole_ones(monkeypatch):
+    rng = np.random.default_rng(9)
+    m = H.Hmm.fresh(np.ones(50), 4)
+    m.step = rng.dirichlet(np.ones(4), 4)
+    seqs = [rng.integers(0, 50, n) for n in (1, 700, 3, 64, 65, 129, 5000, 8, 16, 17)]
+    whole = m.run(seqs, learn=True)
+    for segment, batch in ((64, 300_000), (7, 100), (1, 5)):
+        monkeypatch.setattr(H, "SEGMENT", segment)
+        monkeypatch.setattr(H, "BATCH_TOKENS", batch)
+        for x, y in zip(whole, m.run(seqs, learn=True), strict=True):
+            assert np.allclose(x, y, rtol=1e-9, atol=1e-9)
+        assert np.allclose(whole[0], m.run(seqs), rtol=1e-12)
+
+
+def test_token_hashes_equal_tokens_one_by_one(monkeypatch):
+    monkeypatch.setattr(H, "PIECE", 40)
+    texts = [b"", b"  ", b"The cat\tTHE\x0bcat\r\n", b"x" * 200 + b" y", "Éa É\x00 日本".encode(), b"a b c " * 50, b"\xa0 \x85z"]
+    hashes, n = H.token_hashes(texts)
+    words = [t for x in texts for t in H.tokens(x)]
+    assert n.tolist() == [len(H.tokens(x)) for x in texts] and len(hashes) == len(words)
+    assert len({(h, w) for h, w in zip(hashes.tolist(), words, strict=True)}) == len(set(words)) == len(set(hashes.tolist()))
+
+
 def brute_base(rows):
     counts = Counter(t for i, x in rows if not H.held_out(i) for t in H.tokens(x))
     n, v = sum(counts.values()), len(counts)
@@ -77,16 +100,6 @@ def test_scores_on_held_out_texts(spark, tmp_path, monkeypatch):
     assert sum(r.score for r in held) > sum(r.base_score for r in held) + 0.1 * sum(r.n_tokens for r in held)
 
 
-def test_words_of_a_class_share_its_mass(spark):
-    """Known words' shares of each class and one unseen word's add up to 1."""
-    df = spark.createDataFrame(corpus(100), "doc_id long, text string")
-    seqs, v = H.class_sequences(df)
-    counts = Counter(t for i, x in corpus(100) if not H.held_out(i) for t in H.tokens(x.encode()))
-    assert v.tokens == sum(counts.values()) and v.known == len(counts)
-    assert v.masses.sum() == v.tokens + v.known + H.SUFFIXES
-    assert seqs.count() == 100
-
-
 def test_odd_documents(spark, tmp_path):
     df = odd_documents(spark)
     df = clashing(df.union(df).union(spark.createDataFrame([(None, "the end", None, None, 7)], df.schema)))
@@ -120,8 +133,6 @@ def test_one_state_is_the_base_score(spark):
 def test_counts_beyond_32_bits():
     import pyarrow as pa
 
-    words = np.zeros(1, H._WORD)
-    words["count"] = 2**31 + 5
-    rows = [dict(zip(H.BLOCKS.names, (1, b, 0, None, 1, np.array([7], np.uint64).tobytes(), H.pack(words)), strict=True)) for b in (0, 1)]
+    rows = [dict(zip(H.BLOCKS.names, (1, b, 0, 1, np.array([7], np.uint64).tobytes(), H.pack(np.array([2**31 + 5])), b"", b""), strict=True)) for b in (0, 1)]
     got = H.start_bucket(pa.Table.from_pylist(rows, H.BLOCKS)).to_pylist()
     assert [H.unpack(r["counts"], 1, np.int64)[0] for r in got if r["p"] == 0] == [2**32 + 10] * 2
