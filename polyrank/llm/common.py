@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from functools import cache
 
 import numpy as np
@@ -85,6 +86,23 @@ def drop_written(spark: SparkSession) -> None:
         _WRITTEN.remove((s, path))
 
 
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """On leaving, the tables written inside are deleted, but for those handed to the function that this gives: what stays lazy must not need the others."""
+    before, kept = {path for _, path in _WRITTEN}, set()
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.add(table.written_to)
+        return table
+
+    try:
+        yield keep
+    finally:
+        for spark, path in [x for x in _WRITTEN if x[1] not in before | kept]:
+            delete(spark, path)
+            _WRITTEN.remove((spark, path))
+
+
 def drop_table(*tables: DataFrame) -> None:
     """Delete tables of ``written`` that nothing reads any more."""
     for df in tables:

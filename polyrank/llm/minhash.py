@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_chunks, documents, texts_as_bytes, written
+from .common import byte_chunks, documents, drop_table, scratch, texts_as_bytes, written
 
 WORDS, K, LEAST, SMALL = 5, 32, 13, 24
 #: Sets on each side of a block.
@@ -190,15 +190,15 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, comp) for the nodes of links (a, b): the smallest node that each reaches."""
     both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "both-ways")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("comp")), "labels")
+    table = labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("comp")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("m"))
         step = labels.join(near, "node").select("node", "comp", F.least("comp", "m").alias("c"))
         jump = step.join(labels.select(F.col("node").alias("c"), F.col("comp").alias("cc")), "c", "left")
         new = written(jump.select("node", F.least("c", F.coalesce("cc", "c")).alias("comp"), F.col("comp").alias("was")), "labels")
-        changed = new.where("comp < was").limit(1).count()
-        labels = new.select("node", "comp")
-        if not changed:
+        drop_table(table)
+        table, labels = new, new.select("node", "comp")
+        if not new.where("comp < was").limit(1).count():
             return labels
 
 
@@ -208,11 +208,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Documents without words are linked with nothing. Rows of one doc_id share a component, whatever their texts. A row
     without an id is linked with nothing, has no component and is kept. Other columns of docs are not read.
     """
-    rows = written(sketches(docs), "sketches")
+    with scratch() as keep:
+        rows = keep(written(sketches(docs), "sketches"))
+        names = keep(_classes(docs, rows))
+    named = rows.select("doc_id", "n", "h1", "h2").join(names, ["h1", "h2"], "left")
+    component = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))).otherwise(F.col("doc_id"))
+    return named.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def _classes(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(h1, h2, component) of each class of equal sets, written."""
     best = rows.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min(F.struct(F.col("doc_id").alias("node"), "n", "sketch")).alias("m"))
     nodes = written(best.select("h1", "h2", "m.*"), "classes")
     first, groups = pairs_in_lists(inverted_lists(nodes))
-    pairs = written(estimated(first, nodes), "pairs")
+    pairs = written(estimated(first, nodes), "pairs")  # the last that needs the lists
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(groups.select(F.col("node").alias("doc_id"))).distinct()
     sets = full_sets(docs, wanted)
     links = confirmed(pairs, sets)
@@ -220,10 +229,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     more = written(links_in_hub_groups(groups, labels, sets), "more-links")
     if more.limit(1).count():
         labels = components(links.unionByName(more).distinct())
-    names = written(nodes.select("h1", "h2", "node").join(labels, "node", "left").select("h1", "h2", F.coalesce("comp", "node").alias("component")), "components")
-    named = rows.select("doc_id", "n", "h1", "h2").join(names, ["h1", "h2"], "left")
-    component = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))).otherwise(F.col("doc_id"))
-    return named.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return written(nodes.select("h1", "h2", "node").join(labels, "node", "left").select("h1", "h2", F.coalesce("comp", "node").alias("component")), "components")
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:

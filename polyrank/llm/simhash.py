@@ -13,7 +13,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, written
+from .common import documents, scratch, written
 
 RADIUS = 3
 BLOCKS = 6
@@ -121,15 +121,20 @@ def with_edits(docs: DataFrame) -> DataFrame:
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edits = with_edits(documents(spark, sf_dir, "doc_id", "text"))
-    two = edits.select("doc_id", "next_id", "n_chars", F.xxhash64("text").alias("_th"), F.sha2(F.col("edited"), 256).alias("edited_sha256"), F.explode(F.array(F.struct(F.lit(0).alias("e"), F.col("text").alias("t")), F.struct(F.lit(1).alias("e"), F.col("edited").alias("t")))).alias("_x"))
-    keys = ["doc_id", "next_id", "n_chars", "_th", "edited_sha256"]
-    fps = fingerprints(two.select(*keys, F.col("_x.e").alias("_e"), F.col("_x.t").alias("_text")), [*keys, "_e"], "_text")
-    one = fps.groupBy(*keys).agg(F.max(F.when(F.col("_e") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("_e") == 1, F.col("fp"))).alias("edited_fp"), F.max("n_rows").alias("n_rows"))
-    one = written(one, "fingerprints")
+    with scratch() as keep:
+        one = keep(written(_both_fingerprints(documents(spark, sf_dir, "doc_id", "text")), "fingerprints"))
     next_ = one.groupBy(F.col("doc_id").alias("next_id")).agg(F.min_by("fp", "_th").alias("_next_fp"))
     counts = one.groupBy("fp").agg(F.sum("n_rows").alias("_n"))
     queries = one.where("doc_id % 20 = 0").select("fp")
     near = near_fingerprints(queries, counts).join(counts, "fp").groupBy("q").agg(F.sum("_n").alias("_near"))
     out = one.join(next_, "next_id", "left").join(near, F.col("fp") == F.col("q"), "left").withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), "n_rows")))
     return out.select("doc_id", "n_chars", "edited_sha256", as_hex(F.col("fp")).alias("fingerprint"), as_hex(F.col("edited_fp")).alias("edited_fingerprint"), likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), F.coalesce(likeness(F.col("fp"), F.col("_next_fp")), F.lit(0.0)).alias("near_next"), F.when(F.expr("doc_id % 20 = 0"), F.col("_near") - 1).alias("n_near"))
+
+
+def _both_fingerprints(docs: DataFrame) -> DataFrame:
+    """Each distinct row's fingerprints before and after its edit, and how many rows it stands for."""
+    edits = with_edits(docs)
+    two = edits.select("doc_id", "next_id", "n_chars", F.xxhash64("text").alias("_th"), F.sha2(F.col("edited"), 256).alias("edited_sha256"), F.explode(F.array(F.struct(F.lit(0).alias("e"), F.col("text").alias("t")), F.struct(F.lit(1).alias("e"), F.col("edited").alias("t")))).alias("_x"))
+    keys = ["doc_id", "next_id", "n_chars", "_th", "edited_sha256"]
+    fps = fingerprints(two.select(*keys, F.col("_x.e").alias("_e"), F.col("_x.t").alias("_text")), [*keys, "_e"], "_text")
+    return fps.groupBy(*keys).agg(F.max(F.when(F.col("_e") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("_e") == 1, F.col("fp"))).alias("edited_fp"), F.max("n_rows").alias("n_rows"))
