@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from polyrank.llm import langid, minhash, mixing, pieces, substrings
-from polyrank.llm.common import written
+from polyrank.llm.common import drop_table, scratch, written
 
 #: A text whose language is surer than this stays; at 4 languages a guess is 0.25.
 LEAST_SCORE = 0.3
@@ -47,9 +47,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = written(docs, "stage-" + "-".join(name.lower().split()))
-    return docs
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES[:-1]:
+        with scratch() as keep:  # only a stage's result outlives it, until the next one's is there
+            docs = keep(written(stage(spark, docs, sf_dir), "stage-" + "-".join(name.lower().split())))
+        if last is not None:
+            drop_table(last)
+        last = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
