@@ -59,6 +59,17 @@ def test_each_stage_against_brute_force(spark, tmp_path):
 
 
 def test_odd_and_empty_documents(spark, tmp_path):
+    from polyrank.llm import common
+
     df = odd_documents(spark)
-    assert corpus_pipeline.run(spark, store(clashing(df.union(df)), tmp_path / "a")).count() > 0
+    twice = clashing(df.union(df))
+    got = sorted((r.doc_id, r.ids_sha256) for r in corpus_pipeline.run(spark, store(twice, tmp_path / "a")).collect())
+    docs = twice
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/s{i}")
+        docs = spark.read.parquet(f"{tmp_path}/s{i}")
+    assert got == sorted((r.doc_id, r.ids_sha256) for r in docs.collect())
+    ids = {i for i, _ in got}
+    assert ids and not ids & {2, 3, 4, 9, 7}  # null, empty, blank, without letters, a copy of 1
+    common.drop_written(spark)
     assert corpus_pipeline.run(spark, store(empty_documents(spark), tmp_path / "b")).count() == 0
