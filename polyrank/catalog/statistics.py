@@ -8,6 +8,7 @@ from ..bindings import CAND, candidates, with_
 from ..functions import windows
 from ..functions.columns import wilson as wilson_columns
 from ..operators import bootstrap, cohort, pairs, selectors, stats
+from ..sources.readers import stored
 from .registry import query, r, rounded
 
 
@@ -205,7 +206,8 @@ WAUC = ", s{n} AS (SELECT b, {v} AS v, sum(w) FILTER (truth >= 0.23) AS p, sum(w
 
 @query(with_(CAND + WEIGHTS + WAUC.format(n=1, v="score"), "SELECT round(quantile_cont(auc, 0.025), 6) AS low, round(quantile_cont(auc, 0.975), 6) AS high, count(*) AS replicates FROM a1"))
 def bootstrap_pooled(spark, sf):
-    return rounded(bootstrap.pooled_auc_interval(_labelled(spark, sf), "y", "score", "g", B))
+    d = stored(_labelled(spark, sf).select("g", "score", "y"), "pooled")
+    return rounded(bootstrap.pooled_auc_interval(d, "y", "score", "g", B))
 
 
 @query(with_(CAND + PICK.format(s="score") + WEIGHTS, """, d AS (SELECT p.g, (p.truth >= 0.23)::INT - (c.truth >= 0.23)::INT AS dr, p.truth - c.truth AS dm FROM pick p JOIN cand c ON p.g = c.g AND c.rank = 1),
@@ -213,7 +215,7 @@ rp AS (SELECT b, sum(dr * w) / sum(w) AS dr, sum(dm * w) / sum(w) AS dm FROM d J
 SELECT (SELECT round(avg(dr), 6) FROM d) AS delta_rate, (SELECT round(avg(dm), 6) FROM d) AS delta_mean, round(quantile_cont(dr, 0.025), 6) AS rate_low, round(quantile_cont(dr, 0.975), 6) AS rate_high, round(quantile_cont(dm, 0.025), 6) AS mean_low, round(quantile_cont(dm, 0.975), 6) AS mean_high FROM rp""").replace("GROUP BY b, g)\n,", "GROUP BY b, g),"))
 def bootstrap_paired(spark, sf):
     d = candidates(spark, sf)
-    p = selectors.paired(selectors.top1(d, "score", "g", ["id"]), selectors.rank1(d), "truth", "g")
+    p = stored(selectors.paired(selectors.top1(d, "score", "g", ["id"]), selectors.rank1(d), "truth", "g"), "paired")
     return rounded(bootstrap.paired_difference(p, "a_truth", "b_truth", "g", 0.23, B))
 
 
@@ -221,7 +223,7 @@ def bootstrap_paired(spark, sf):
 SELECT 'auc' AS metric, round(quantile_cont(a1.auc - a2.auc, 0.025), 6) AS low, round(quantile_cont(a1.auc - a2.auc, 0.975), 6) AS high, count(*) AS replicates FROM a1 JOIN a2 USING (b)
 UNION ALL SELECT 'brier', round(quantile_cont(d, 0.025), 6), round(quantile_cont(d, 0.975), 6), count(*) FROM br""").replace("GROUP BY b)\n,", "GROUP BY b),"))
 def bootstrap_metric_delta(spark, sf):
-    d = _labelled(spark, sf).withColumns({"pa": F.col("score") / 1000, "pb": F.col("score2") / 100})
+    d = stored(_labelled(spark, sf).select("g", "y", (F.col("score") / 1000).alias("pa"), (F.col("score2") / 100).alias("pb")), "scored")
     return rounded(bootstrap.metric_difference(d, "y", "pa", "pb", "g", B))
 
 

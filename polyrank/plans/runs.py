@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import bootstrap, contracts, selectors, sets, stats
 from ..roles import ACCEPTABLE, DEFAULT, Roles
+from ..sources.readers import stored
 from . import models
 
 
@@ -74,12 +75,13 @@ def validate(df: DataFrame, config: Config, roles: Roles = DEFAULT) -> DataFrame
 
 def evaluate(scored: DataFrame, roles: Roles = DEFAULT, replicates: int = 200, name: str = "probability") -> DataFrame:
     """One row: candidate metrics of the model, selector metrics of model and reference, and the paired intervals."""
+    scored = stored(scored.select(*dict.fromkeys([roles.group, *roles.ties, roles.score, roles.truth, name])), "scored")
     cand = stats.candidate_metrics(scored, name, roles.truth, roles.threshold)
     a = selectors.top1(scored, name, roles.group, list(roles.ties))
     b = selectors.top1(scored, roles.score, roles.group, list(roles.ties))
     m = stats.selector_metrics(a, roles.truth).select(F.col("rate_acceptable").alias("model_rate"), F.col("mean_truth").alias("model_mean"))
     r = stats.selector_metrics(b, roles.truth).select(F.col("rate_acceptable").alias("reference_rate"), F.col("mean_truth").alias("reference_mean"))
-    pairs = selectors.paired(a, b, roles.truth, roles.group)
+    pairs = stored(selectors.paired(a, b, roles.truth, roles.group), "paired")
     d = bootstrap.paired_difference(pairs, "a_truth", "b_truth", roles.group, roles.threshold, replicates)
     return cand.crossJoin(m).crossJoin(r).crossJoin(d)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import tarfile
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterable, Iterator
 
@@ -281,6 +282,15 @@ def parsed_report(df: DataFrame, text: str, key: str) -> DataFrame:
     return g.select(key, "low", "mean", "high", F.coalesce((F.col("_n") == 2) & (F.col("_d") == 2) & (F.col("_u") == 1) & (F.abs(F.col("_max") - F.col("high")) <= 5e-4), F.lit(False)).alias("ok"))
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a table written once in the checkpoint folder: what reads it several times doesn't compute it again."""
+    spark = df.sparkSession
+    table_checkpoint(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def table_checkpoint(spark: SparkSession) -> None:
     """Make sure checkpoint() has a folder: the session's spark.checkpoint.dir; where it is unset, one of this machine in local mode only."""
     sc = spark.sparkContext
