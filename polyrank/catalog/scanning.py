@@ -90,12 +90,20 @@ def _pdb_lines(spark, sf):
     return e.select(F.col("label").alias("structure"), F.col("vec_id").alias("n"), line.alias("value"))
 
 
-@query()
+PDB = """a AS (SELECT label AS structure, vec_id AS n, vec_id::INT AS serial, 'CA' AS name, (['ALA', 'GLY', 'SER', 'LYS', 'XXX'])[(vec_id // 2) % 5 + 1] AS residue,
+  CASE WHEN vec_id % 2 = 0 THEN 'A' ELSE 'B' END AS chain, printf('%4d', vec_id // 4) || ' ' AS number, 'C' AS element,
+  printf('%8.3f', embedding[1]::DOUBLE * 10)::DOUBLE AS x, printf('%8.3f', embedding[2]::DOUBLE * 10)::DOUBLE AS y, printf('%8.3f', embedding[3]::DOUBLE * 10)::DOUBLE AS z FROM embeddings WHERE vec_id % 7 <> 0),
+h AS (SELECT * FROM a WHERE residue <> 'XXX'),
+r AS (SELECT *, row_number() OVER (PARTITION BY structure, chain ORDER BY f)::INT AS res FROM (SELECT structure, chain, number, min(n) AS f FROM h GROUP BY ALL)),
+heavy AS (SELECT h.* EXCLUDE (n), res FROM h JOIN r USING (structure, chain, number))"""
+
+
+@query(with_(PDB, "SELECT * FROM heavy"))
 def pdb_atoms(spark, sf):
     return readers.pdb_atoms(_pdb_lines(spark, sf))
 
 
-@query()
+@query(with_(PDB, "SELECT structure, chain, string_agg(letter, '' ORDER BY res, letter) AS sequence FROM (SELECT DISTINCT structure, chain, res, CASE residue WHEN 'ALA' THEN 'A' WHEN 'GLY' THEN 'G' WHEN 'SER' THEN 'S' ELSE 'K' END AS letter FROM heavy) GROUP BY structure, chain"))
 def chain_sequence(spark, sf):
     return readers.chain_sequences(readers.pdb_atoms(_pdb_lines(spark, sf)))
 
