@@ -68,6 +68,27 @@ def written(df: DataFrame, name: str, packed: bool = False) -> DataFrame:
     return out
 
 
+def written_apart(df: DataFrame, name: str, condition: str, packed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """As written, in one pass, but the rows that meet the condition and the others as two tables, each of which can be dropped."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.withColumn("_apart", F.expr(f"if({condition}, 1, 0)")).write.options(**(_PACKED if packed else {})).partitionBy("_apart").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = []
+    for i in (1, 0):
+        own = f"{path}/_apart={i}"
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(p)  # a side without rows is an empty table
+        remember(spark, own)
+        out.append(spark.read.schema(df.schema).parquet(own))
+        out[-1].written_to = own
+    return out[0], out[1]
+
+
 def remember(spark: SparkSession, path: str) -> None:
     """List a folder of the session's results for ``drop_written``."""
     _WRITTEN.append((spark, path))
@@ -86,6 +107,23 @@ def drop_written(spark: SparkSession) -> None:
         _WRITTEN.remove((s, path))
 
 
+#: Most keys that ``hot_keys`` gives: a key is hot if it has more than this part of all rows.
+HOT_KEYS = 10_000
+
+
+def hot_keys(counts: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """The keys that hold more than 1 / HOT_KEYS of all that is counted; counts has a row for each key. There are fewer than HOT_KEYS, so they may be broadcast."""
+    total = counts.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    return counts.where(F.col(count) * HOT_KEYS > F.lit(total)).select(*keys)
+
+
+def join_apart(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame, how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row for each key, by ``how`` (inner or left): rows of hot keys stay where they are and meet right's few rows by broadcast, the others are shuffled by key."""
+    few = F.broadcast(right.join(F.broadcast(hot), keys, "left_semi"))  # fewer than HOT_KEYS rows
+    own = left.join(F.broadcast(hot), keys, "left_semi").join(few, keys, how)
+    return own.unionByName(left.join(F.broadcast(hot), keys, "left_anti").join(right, keys, how))
+
+
 @contextmanager
 def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
     """On leaving, the tables written inside are deleted, but for those handed to the function that this gives: what stays lazy must not need the others."""

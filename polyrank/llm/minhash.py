@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_chunks, documents, drop_table, scratch, texts_as_bytes, written
+from .common import byte_chunks, documents, drop_table, hot_keys, join_apart, scratch, texts_as_bytes, written
 
 WORDS, K, LEAST, SMALL = 5, 32, 13, 24
 #: Sets on each side of a block.
@@ -85,7 +85,7 @@ def inverted_lists(nodes: DataFrame) -> DataFrame:
     """(v, node, n, common): each class under its rarest values, those that another class has too. common: how common its values are."""
     values = nodes.select("node", "h1", "n", F.explode("sketch").alias("v"))
     counts = written(values.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "value-counts")
-    rows = values.join(counts, "v", "left").select("node", "h1", "n", F.struct(F.coalesce("c", F.lit(1)).alias("c"), "v").alias("x"))
+    rows = join_apart(values, counts, ["v"], hot_keys(counts, ["v"], "c"), "left").select("node", "h1", "n", F.struct(F.coalesce("c", F.lit(1)).alias("c"), "v").alias("x"))
     own = rows.groupBy("node", "h1", "n").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     own = own.withColumn("common", F.aggregate("xs", F.lit(0).cast("long"), lambda s, x: s + x["c"]))
     size = F.size("xs")
@@ -97,9 +97,11 @@ def pairs_in_lists(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs (a < b) that the first round compares, and the long lists."""
     heads = lists.groupBy("v").agg(F.count(F.lit(1)).alias("m"), F.max(F.struct("common", (-F.col("node")).alias("minus"), F.col("n").alias("hn"))).alias("head")).where("m > 1")
     heads = written(heads.select("v", "m", (-F.col("head.minus")).alias("hub"), F.col("head.hn").alias("hub_n")), "heads")
-    long = lists.join(heads.where(F.col("m") > SMALL), "v")
+    hot = hot_keys(heads.where(F.col("m") > SMALL), ["v"], "m")
+    long = join_apart(lists, heads.where(F.col("m") > SMALL), ["v"], hot)
     star = long.where((F.col("node") != F.col("hub")) & alike_in_size(F.col("n"), F.col("hub_n"))).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-    short = lists.join(heads.where(F.col("m") <= SMALL).select("v"), "v").groupBy("v").agg(F.array_sort(F.collect_list(F.struct("node", "n"))).alias("xs"))
+    cold = lists.join(F.broadcast(hot), "v", "left_anti")
+    short = cold.join(heads.where(F.col("m") <= SMALL).select("v"), "v").groupBy("v").agg(F.array_sort(F.collect_list(F.struct("node", "n"))).alias("xs"))
     left = short.select("xs", F.posexplode("xs").alias("i", "x"))
     both = left.select(F.col("x.node").alias("a"), F.explode(F.filter(F.slice("xs", F.col("i") + 2, F.size("xs")), lambda y: (y["node"] != F.col("x.node")) & alike_in_size(y["n"], F.col("x.n")))["node"]).alias("b"))
     groups = long.select("hub", "node").unionByName(long.select("hub", F.col("hub").alias("node"))).distinct()
@@ -151,9 +153,10 @@ def links_in_hub_groups(groups: DataFrame, labels: DataFrame, sets: DataFrame) -
     named = groups.join(labels, "node", "left").select("hub", "node", F.coalesce("comp", "node").alias("comp"))
     named = written(named, "hub-components")
     home = named.where("node = hub").select("hub", F.col("comp").alias("home"))
-    counts = named.join(home, "hub").groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nj"), F.ceil(F.count_if(F.col("comp") != F.col("home")) / BLOCK).cast("int").alias("ni"), F.max("home").alias("home")).where("ni > 0")
+    hot = hot_keys(written(named.groupBy("hub").agg(F.count(F.lit(1)).alias("m")), "hub-sizes"), ["hub"], "m")
+    counts = join_apart(named, home, ["hub"], hot).groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nj"), F.ceil(F.count_if(F.col("comp") != F.col("home")) / BLOCK).cast("int").alias("ni"), F.max("home").alias("home")).where("ni > 0")
     counts = written(counts, "hub-counts")
-    rows = named.join(counts, "hub")
+    rows = join_apart(named, counts, ["hub"], hot)
     block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     away = rows.where("comp <> home").select("hub", "node", "comp", F.lit(0).alias("side"), block("ni").alias("i"), upto("nj").alias("j"))
@@ -211,15 +214,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     with scratch() as keep:
         rows = keep(written(sketches(docs), "sketches"))
         names = keep(_classes(docs, rows))
-    named = rows.select("doc_id", "n", "h1", "h2").join(names, ["h1", "h2"], "left")
+    some, keys = rows.where("n > 0").select("doc_id", "n", "h1", "h2"), ["h1", "h2"]
+    named = join_apart(some, names.drop("copies"), keys, hot_keys(names, keys, "copies"), "left")
+    named = named.unionByName(rows.where("n = 0").select("doc_id", "n", "h1", "h2", F.lit(None).cast("long").alias("component")))
     component = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))).otherwise(F.col("doc_id"))
     return named.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def _classes(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(h1, h2, component) of each class of equal sets, written."""
-    best = rows.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min(F.struct(F.col("doc_id").alias("node"), "n", "sketch")).alias("m"))
-    nodes = written(best.select("h1", "h2", "m.*"), "classes")
+    """(h1, h2, component, copies) of each class of equal sets, written."""
+    best = rows.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min(F.struct(F.col("doc_id").alias("node"), "n", "sketch")).alias("m"), F.count(F.lit(1)).alias("copies"))
+    nodes = written(best.select("h1", "h2", "copies", "m.*"), "classes")
     first, groups = pairs_in_lists(inverted_lists(nodes))
     pairs = written(estimated(first, nodes), "pairs")  # the last that needs the lists
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(groups.select(F.col("node").alias("doc_id"))).distinct()
@@ -229,7 +234,7 @@ def _classes(docs: DataFrame, rows: DataFrame) -> DataFrame:
     more = written(links_in_hub_groups(groups, labels, sets), "more-links")
     if more.limit(1).count():
         labels = components(links.unionByName(more).distinct())
-    return written(nodes.select("h1", "h2", "node").join(labels, "node", "left").select("h1", "h2", F.coalesce("comp", "node").alias("component")), "components")
+    return written(nodes.select("h1", "h2", "copies", "node").join(labels, "node", "left").select("h1", "h2", "copies", F.coalesce("comp", "node").alias("component")), "components")
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, scratch, written
+from .common import documents, hot_keys, join_apart, scratch, written
 
 RADIUS = 3
 BLOCKS = 6
@@ -124,10 +124,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     with scratch() as keep:
         one = keep(written(_both_fingerprints(documents(spark, sf_dir, "doc_id", "text")), "fingerprints"))
     next_ = one.groupBy(F.col("doc_id").alias("next_id")).agg(F.min_by("fp", "_th").alias("_next_fp"))
-    counts = one.groupBy("fp").agg(F.sum("n_rows").alias("_n"))
-    queries = one.where("doc_id % 20 = 0").select("fp")
-    near = near_fingerprints(queries, counts).join(counts, "fp").groupBy("q").agg(F.sum("_n").alias("_near"))
-    out = one.join(next_, "next_id", "left").join(near, F.col("fp") == F.col("q"), "left").withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), "n_rows")))
+    with scratch() as keep:
+        counts = keep(written(one.groupBy("fp").agg(F.sum("n_rows").alias("_n"), F.count(F.lit(1)).alias("_rows")), "fingerprint-counts"))
+        near = near_fingerprints(one.where("doc_id % 20 = 0").select("fp"), counts).join(counts, "fp").groupBy("q").agg(F.sum("_n").alias("_near"))
+        near = keep(written(near.withColumnRenamed("q", "fp"), "near"))
+    both = join_apart(one, near, ["fp"], hot_keys(counts, ["fp"], "_rows"), "left")
+    out = both.join(next_, "next_id", "left").withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), "n_rows")))
     return out.select("doc_id", "n_chars", "edited_sha256", as_hex(F.col("fp")).alias("fingerprint"), as_hex(F.col("edited_fp")).alias("edited_fingerprint"), likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), F.coalesce(likeness(F.col("fp"), F.col("_next_fp")), F.lit(0.0)).alias("near_next"), F.when(F.expr("doc_id % 20 = 0"), F.col("_near") - 1).alias("n_near"))
 
 
