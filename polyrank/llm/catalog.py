@@ -5,13 +5,13 @@ from __future__ import annotations
 from .hmm import op3_hmm
 from .langid import op9_langid
 from .media import op10_media
-from .minhash import op8_minhash
+from .minhash import OP8_SQL, op8_minhash
 from .mixing import OP4_SQL, op4_mixing
 from .pieces import op6_pieces
 from .quality import op5_quality
 from .sharding import op7_sharding
 from .simhash import op2_simhash
-from .substrings import op1_substrings
+from .substrings import OP1_SQL, op1_substrings
 
 QUERIES = {
     "op1_substrings": op1_substrings,
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_langid": op9_langid,
     "op10_media": op10_media,
 }
-ORACLE_SQL = {"op4_mixing": OP4_SQL}
+ORACLE_SQL = {"op1_substrings": OP1_SQL, "op4_mixing": OP4_SQL, "op8_minhash": OP8_SQL}
