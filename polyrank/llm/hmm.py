@@ -4,11 +4,11 @@ Words are counted exactly over all training documents without a shuffle of words
 cut into blocks of about 8 MB, each sends its distinct words' hashes with their counts to buckets (a packed row
 for each block and bucket), and each bucket sends back the totals.
 
-Every word has emissions of its own. They are never gathered in one place: a word's expected counts by state
-belong to its bucket. In a round of Baum-Welch each bucket adds up what the blocks expect of its words and answers
-each block with its words' sums (64-bit counts of 1 / UNIT, so that they don't depend on the order of adding); each
-block runs the scaled forward and backward recursions over its texts, all texts of a batch step by step together, and
-sends the new expected counts of its words. The driver holds the steps between states and each state's total. A state's
+Every word has emissions of its own. They are never gathered in one place: the expected counts by state of a word that
+several blocks have belong to its bucket, those of a word that one block alone has stay with the block. In a round of
+Baum-Welch each bucket adds up what the blocks expect of its words and answers each block with its words' sums (64-bit
+counts of 1 / UNIT, so that they don't depend on the order of adding); each block runs the scaled forward and backward
+recursions over its texts, all texts of a batch step by step together, and sends the new expected counts. The driver holds the steps between states and each state's total. A state's
 emission of a word is (e + 1 / states) / (all of the state's e + 1 / states, and 1 / states for words never seen), so
 that one state alone gives the base score.
 Rounds go on until the training texts' log10 likelihood a token gains less than ``GAIN``.
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, drop_table, n_rows_bytes, pack, powers, unpack, written
+from .common import documents, drop_table, n_rows_bytes, pack, powers, unpack, written, written_apart
 from .gsaca import _flat
 
 FOLD, HELD = 7, 2
@@ -45,7 +45,7 @@ GAIN = 1e-3
 STAY = 5.0
 BLOCK_BYTES, BUCKET_BYTES, MOST_BUCKETS = 8 << 20, 8 << 20, 65_536
 #: Tokens that a task runs through together, those of a segment, and steps from one scaling to the next.
-BATCH_TOKENS, SEGMENT, EVERY = 300_000, 2048, 8
+BATCH_TOKENS, SEGMENT, EVERY = 300_000, 4096, 8
 #: Bytes that are cut into words together.
 PIECE = 1 << 20
 END = b""
@@ -89,12 +89,12 @@ def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 _L, _I, _B = pa.int64(), pa.int32(), pa.binary()
-#: kind 0: a block's n documents (data: local numbers of their tokens, extra: ids, mask: is there an id, sizes: tokens of each). kind 1: a block's n words in a bucket (data: hashes, extra: counts).
-BLOCKS = pa.schema([("kind", _I), ("blk", _L), ("p", _L), ("n", _L), ("data", _B), ("extra", _B), ("mask", _B), ("sizes", _B)])
-#: A block's words of a bucket (n words, ids: their numbers in the bucket, data: sums by word and state in 1 / UNIT). p -1: rest has whole-number sums of a block or bucket, which Spark adds up.
+#: kind 0: a block's n documents (data: their tokens by rank, order: the word number of each rank, extra: ids, mask: is there an id, sizes: tokens of each). kind 1: a block's n words in a bucket (data: hashes, extra: counts).
+BLOCKS = pa.schema([("kind", _I), ("blk", _L), ("p", _L), ("n", _L), ("data", _B), ("order", _B), ("extra", _B), ("mask", _B), ("sizes", _B)])
+#: A block's words of a bucket (n words, ids: their numbers in the bucket, -1 for those that no other block has, data: sums by word and state in 1 / UNIT, or before the first round counts). p -2: the sums of all words that the block alone has. p -1: rest has whole-number sums of a block or bucket, which Spark adds up.
 SUMS = pa.schema([("blk", _L), ("p", _L), ("n", _I), ("ids", _B), ("data", _B), ("counts", _B), ("rest", pa.list_(_L))])
-#: A block's n documents, all columns packed.
-TEXTS = pa.schema([("blk", _L), ("n", _L), ("ids", _B), ("mask", _B), ("sizes", _B), ("known", _B), ("base", _B), ("data", _B)])
+#: A block's n documents, all columns packed; words: how many the block has, shared: which of them other blocks have too.
+TEXTS = pa.schema([("blk", _L), ("n", _L), ("words", _L), ("ids", _B), ("mask", _B), ("sizes", _B), ("known", _B), ("base", _B), ("data", _B), ("order", _B), ("shared", _B)])
 SCORES = pa.schema([("doc_id", _L), ("n_tokens", _L), ("n_known", _L), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
@@ -106,6 +106,19 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.Table.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
 
 
+def pack_tokens(number: np.ndarray, words: int) -> tuple[bytes, bytes]:
+    """Tokens as ranks of their words by frequency, least bytes of all first (the upper ones are mostly 0), and the word of each rank."""
+    order = np.argsort(-np.bincount(number, minlength=words), kind="stable").astype(np.int32)
+    rank = np.empty(words, np.int32)
+    rank[order] = np.arange(words, dtype=np.int32)
+    return pack(rank[number].view(np.uint8).reshape(-1, 4).T), pack(order)
+
+
+def unpack_tokens(data: bytes, order: bytes, n: int, words: int) -> np.ndarray:
+    rank = np.ascontiguousarray(unpack(data, 4 * n, np.uint8).reshape(4, -1).T).view(np.int32)[:, 0]
+    return unpack(order, words, np.int32)[rank]
+
+
 def encode_block(table: pa.Table, buckets: int) -> pa.Table:
     """A block's documents as local word numbers, and its words for each bucket; numbers go by bucket."""
     table = table.sort_by("doc_id")
@@ -119,9 +132,9 @@ def encode_block(table: pa.Table, buckets: int) -> pa.Table:
     number, u, p = place[number], u[order], p[order]
     train = np.array([not held_out(i) for i in ids.to_pylist()])
     counts = np.bincount(number[np.repeat(train, n)], minlength=len(u))
-    rows = [(0, blk, -1, len(n), pack(number), pack(ids.fill_null(0).to_numpy()), pack(ids.is_valid().to_numpy().astype(np.uint8)), pack(n))]
+    rows = [(0, blk, -1, len(n), *pack_tokens(number, len(u)), pack(ids.fill_null(0).to_numpy()), pack(ids.is_valid().to_numpy().astype(np.uint8)), pack(n))]
     for own in np.split(np.arange(len(u)), np.flatnonzero(np.diff(p)) + 1):
-        rows.append((1, blk, int(p[own[0]]), len(own), u[own].tobytes(), pack(counts[own]), b"", b""))
+        rows.append((1, blk, int(p[own[0]]), len(own), u[own].tobytes(), b"", pack(counts[own]), b"", b""))
     return _table(rows, BLOCKS)
 
 
@@ -153,9 +166,8 @@ class Hmm:
         score = np.zeros(len(seqs))
         starts, steps, emits = np.zeros(k), np.zeros((k, k)), np.zeros((k, self.emit.shape[1]))
         for at in np.split(order, np.flatnonzero(np.diff(np.cumsum(size) // BATCH_TOKENS)) + 1):
-            own = [parts[i] for i in at]
-            got, *counts = self._batch(own, before[at], first[at], end[at], learn, scaled)
-            np.add.at(score, owner[at], got + [logs[p].sum() for p in own])
+            got, *counts = self._batch([parts[i] for i in at], before[at], first[at], end[at], learn, scaled, logs)
+            np.add.at(score, owner[at], got)
             if learn:
                 starts += counts[0]
                 steps += counts[1]
@@ -198,7 +210,7 @@ class Hmm:
                 v = self.step @ (matrix[i] @ end[i])
                 end[i - 1] = v / v.sum()
 
-    def _batch(self, seqs: list[np.ndarray], before: np.ndarray, first: np.ndarray, end: np.ndarray, learn: bool, scaled: np.ndarray):
+    def _batch(self, seqs: list[np.ndarray], before: np.ndarray, first: np.ndarray, end: np.ndarray, learn: bool, scaled: np.ndarray, largest: np.ndarray):
         """As run, for segments in descending length. before: the start's probabilities of a first segment, else the forward vector of the token before."""
         alive, off, flat = self._layout(seqs)
         n, k, lengths = len(seqs), len(self.start), np.array([len(s) for s in seqs])
@@ -216,7 +228,7 @@ class Hmm:
                 scale[off[t] : off[t] + m] = c
                 x *= (1 / c)[:, None]
                 logs[:m] += np.log10(c)
-        score = logs + np.log10(a[off[lengths - 1] + np.arange(n)] @ ones)
+        score = logs + np.log10(a[off[lengths - 1] + np.arange(n)] @ ones) + np.add.reduceat(largest[np.concatenate(seqs)], np.cumsum(lengths) - lengths)
         if not learn:
             return (score,)
         turned, later = np.ascontiguousarray(step.T), 0
@@ -266,9 +278,26 @@ def unpack_sums(b: bytes, n: int, states: int) -> np.ndarray:
     return np.ascontiguousarray(unpack(b, 8 * n * states, np.uint8).reshape(8, -1).T).view(np.int64).reshape(n, states)
 
 
-def _all_sums(table: pa.Table, states: int) -> np.ndarray:
-    rows = zip(*(table.column(c).to_pylist() for c in ("p", "n", "ids", "data", "counts")), strict=True)
-    return np.concatenate([first_sums(p, unpack(ids, n, np.int32), unpack(counts, n, np.int64), states) if counts else unpack_sums(b, n, states) for p, n, ids, b, counts in rows])
+def first_sums(blk: int, p: int, ids: np.ndarray, place: np.ndarray, counts: np.ndarray, states: int = STATES, seed: int = SEED) -> np.ndarray:
+    """Words' sums before the first round: c + 1 with random leanings, which bucket and number fix, or for words with number -1 block, bucket and place in its row; 0 for unseen words."""
+    key = _mixed(np.where(ids >= 0, ids, place).astype(np.uint64) + np.uint64((p << 32) + (seed << 52)))
+    key = np.where(ids >= 0, key, _mixed(key + np.uint64(2 * blk + 1)))[:, None]
+    draw = lambda k: (_mixed(key + np.arange(k * states + 1, (k + 1) * states + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)) * 2.0**-53
+    lean = np.exp(np.sqrt(-2 * np.log1p(-draw(0))) * np.cos(2 * np.pi * draw(1)))
+    return np.rint(np.where(counts[:, None] > 0, (counts[:, None] + 1.0) * lean, 0) * UNIT).astype(np.int64)
+
+
+def block_sums(table: pa.Table, text: dict, states: int) -> np.ndarray:
+    """The sums of all words of a block, from its rows of SUMS (sorted by p) and its row of TEXTS."""
+    rows = table.to_pylist()
+    if any(r["counts"] for r in rows):  # before the first round
+        return np.concatenate([first_sums(r["blk"], r["p"], unpack(r["ids"], r["n"], np.int32), np.arange(r["n"]), unpack(r["counts"], r["n"], np.int64), states) for r in rows])
+    shared = unpack(text["shared"], text["words"], np.uint8).astype(bool)
+    out = np.empty((text["words"], states), np.int64)
+    for mine, ps in ((shared, [r for r in rows if r["p"] >= 0]), (~shared, [r for r in rows if r["p"] == -2])):
+        if ps:
+            out[mine] = np.concatenate([unpack_sums(r["data"], r["n"], states) for r in ps])
+    return out
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -278,41 +307,36 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def first_sums(p: int, ids: np.ndarray, counts: np.ndarray, states: int = STATES, seed: int = SEED) -> np.ndarray:
-    """A bucket's words' sums before the first round: c + 1 with random leanings, which bucket, number and seed fix; 0 for unseen words."""
-    key = _mixed(ids.astype(np.uint64) + np.uint64((p << 32) + (seed << 52)))[:, None]
-    draw = lambda k: (_mixed(key + np.arange(k * states + 1, (k + 1) * states + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)) * 2.0**-53
-    lean = np.exp(np.sqrt(-2 * np.log1p(-draw(0))) * np.cos(2 * np.pi * draw(1)))
-    return np.rint(np.where(counts[:, None] > 0, (counts[:, None] + 1.0) * lean, 0) * UNIT).astype(np.int64)
-
-
 def start_bucket(table: pa.Table, states: int = STATES) -> pa.Table:
     """For each block its words' numbers and counts in all blocks, from which the first sums follow; and the bucket's tokens, known words and sums by state."""
     table = table.sort_by("blk")
-    n = table.column("n").to_pylist()
+    n, blks, p = table.column("n").to_pylist(), table.column("blk").to_pylist(), table.column("p")[0].as_py()
     hashes = np.concatenate([np.frombuffer(b, np.uint64) for b in table.column("data").to_pylist()])
     own = np.concatenate([unpack(b, k, np.int64) for b, k in zip(table.column("extra").to_pylist(), n, strict=True)])
-    u, ids = np.unique(hashes, return_inverse=True)
+    u, inverse, blocks = np.unique(hashes, return_inverse=True, return_counts=True)
     total = np.zeros(len(u), np.int64)
-    np.add.at(total, ids, own)
-    known = total > 0
-    p = table.column("p")[0].as_py()
-    first = first_sums(p, np.arange(len(u)), total, states)
-    rows = [(-1, -1, 0, b"", b"", b"", [int(total.sum()), int(known.sum()), *first.sum(0).tolist()])]
-    for blk, at in zip(table.column("blk").to_pylist(), np.split(ids, np.cumsum(n)[:-1]), strict=True):
-        rows.append((blk, p, len(at), pack(at.astype(np.int32)), b"", pack(total[at]), None))
-    return _table(rows, SUMS)
+    np.add.at(total, inverse, own)
+    several = blocks > 1
+    number = np.where(several, np.cumsum(several) - 1, -1).astype(np.int32)
+    sums = first_sums(0, p, number[several], number[several], total[several], states).sum(0)
+    rows = []
+    for blk, at in zip(blks, np.split(inverse, np.cumsum(n)[:-1]), strict=True):
+        ids, counts = number[at], total[at]
+        alone = np.flatnonzero(ids < 0)
+        sums += first_sums(blk, p, ids[alone], alone, counts[alone], states).sum(0)
+        rows.append((blk, p, len(at), pack(ids), b"", pack(counts), None))
+    return _table([*rows, (-1, -1, 0, b"", b"", b"", [int(total.sum()), int((total > 0).sum()), *sums.tolist()])], SUMS)
 
 
 def sum_bucket(table: pa.Table, states: int = STATES) -> pa.Table:
     """For each block its words' sums over what all blocks expect."""
-    table = table.sort_by("blk")
-    n = table.column("n").to_pylist()
-    ids = [unpack(b, k, np.int32) for b, k in zip(table.column("ids").to_pylist(), n, strict=True)]
-    flat, p = np.concatenate(ids), table.column("p")[0].as_py()
+    rows = table.sort_by("blk").to_pylist()
+    ids = [unpack(r["ids"], r["n"], np.int32) for r in rows]
+    flat = np.concatenate(ids)
     sums = np.zeros((flat.max() + 1, states), np.int64)
-    np.add.at(sums, flat, _all_sums(table, states))
-    return _table([(blk, p, len(at), packed, pack_sums(sums[at]), b"", None) for blk, at, packed in zip(table.column("blk").to_pylist(), ids, table.column("ids").to_pylist(), strict=True)], SUMS)
+    for at, r in zip(ids, rows, strict=True):
+        sums[at] += unpack_sums(r["data"], r["n"], states)  # a block has a word once
+    return _table([(r["blk"], r["p"], r["n"], r["ids"], pack_sums(sums[at]), b"", None) for r, at in zip(rows, ids, strict=True)], SUMS)
 
 
 def base_block(docs: pa.Table, sums: pa.Table, n_tokens: int, n_known: int) -> pa.Table:
@@ -323,10 +347,11 @@ def base_block(docs: pa.Table, sums: pa.Table, n_tokens: int, n_known: int) -> p
     count = np.concatenate([unpack(b, k, np.int64) for b, k in zip(sums.column("counts").to_pylist(), sums.column("n").to_pylist(), strict=True)])
     base = np.log10((count + 1) / (n_tokens + n_known + 1))
     sizes = unpack(row["sizes"], row["n"], np.int64)
-    at = unpack(row["data"], int(sizes.sum()), np.int32)
+    at = unpack_tokens(row["data"], row["order"], int(sizes.sum()), len(count))
+    ids = np.concatenate([unpack(b, k, np.int32) for b, k in zip(sums.column("ids").to_pylist(), sums.column("n").to_pylist(), strict=True)])
     own = np.split(base[at], np.cumsum(sizes)[:-1])
     known = np.add.reduceat((count[at] > 0).astype(np.int64), np.cumsum(sizes) - sizes)
-    return _table([(row["blk"], row["n"], row["extra"], row["mask"], row["sizes"], pack(known), pack(np.array([math.fsum(x) for x in own])), row["data"])], TEXTS)
+    return _table([(row["blk"], row["n"], len(count), row["extra"], row["mask"], row["sizes"], pack(known), pack(np.array([math.fsum(x) for x in own])), row["data"], row["order"], pack((ids >= 0).astype(np.uint8)))], TEXTS)
 
 
 @dataclass
@@ -337,10 +362,10 @@ class Words:
     step: np.ndarray
     totals: np.ndarray
 
-    def block(self, sums: pa.Table) -> Hmm:
+    def block(self, sums: pa.Table, text: dict) -> Hmm:
         """The model of a block's words; sums are sorted by p."""
         states = len(self.totals)
-        emit = (_all_sums(sums, states) / UNIT + 1 / states) / self.totals
+        emit = (block_sums(sums, text, states) / UNIT + 1 / states) / self.totals
         return Hmm(self.start, self.step, emit.T)
 
 
@@ -348,7 +373,7 @@ def _texts(docs: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.
     """A block's ids, which of them there are, tokens of each document, their word numbers, and the row itself."""
     row = docs.to_pylist()[0]
     sizes = unpack(row["sizes"], row["n"], np.int64)
-    words = unpack(row["data"], int(sizes.sum()), np.int32)
+    words = unpack_tokens(row["data"], row["order"], int(sizes.sum()), row["words"])
     return unpack(row["ids"], row["n"], np.int64), unpack(row["mask"], row["n"], np.uint8).astype(bool), sizes, np.split(words, np.cumsum(sizes)[:-1]), row
 
 
@@ -357,32 +382,38 @@ def learn_block(docs: pa.Table, sums: pa.Table, words: Words) -> pa.Table:
     if not docs.num_rows:
         return SUMS.empty_table()
     sums, states = sums.sort_by("p"), len(words.totals)
-    hmm = words.block(sums)
     ids, there, _, seqs, row = _texts(docs)
+    hmm = words.block(sums, row)
     seqs = [s for i, t, s in zip(ids.tolist(), there.tolist(), seqs, strict=True) if not held_out(i if t else None)]
     parts, rest = np.zeros((hmm.emit.shape[1], states), np.int64), np.zeros(2 * states + states**2 + 2, np.int64)
     if seqs:
         score, starts, steps, got = hmm.run(seqs, learn=True, kind=np.float32)
         parts = np.rint(got.T * UNIT).astype(np.int64)
         rest = np.concatenate((parts.sum(0), np.rint(np.concatenate((starts, steps.ravel(), (score.sum(),))) * UNIT).astype(np.int64), (sum(map(len, seqs)),)))
-    rows, at = [], 0
-    for p, n, numbers in zip(*(sums.column(c).to_pylist() for c in ("p", "n", "ids")), strict=True):
-        rows.append((row["blk"], p, n, numbers, pack_sums(parts[at : at + n]), b"", None))
-        at += n
-    return _table([*rows, (row["blk"], -1, 0, b"", b"", b"", rest.tolist())], SUMS)
+    shared = unpack(row["shared"], row["words"], np.uint8).astype(bool)
+    ours, rows, at = parts[shared], [], 0
+    for r in sums.to_pylist():
+        if r["p"] >= 0:
+            numbers = unpack(r["ids"], r["n"], np.int32)
+            n = int((numbers >= 0).sum())
+            if n:
+                rows.append((row["blk"], r["p"], n, pack(numbers[numbers >= 0]) if n < r["n"] else r["ids"], pack_sums(ours[at : at + n]), b"", None))
+            at += n
+    mine = parts[~shared]
+    return _table([*rows, (row["blk"], -2, len(mine), b"", pack_sums(mine), b"", None), (row["blk"], -1, 0, b"", b"", b"", rest.tolist())], SUMS)
 
 
 def score_block(docs: pa.Table, sums: pa.Table, words: Words) -> pa.Table:
     if not docs.num_rows:
         return SCORES.empty_table()
     ids, there, sizes, seqs, row = _texts(docs)
-    score = words.block(sums.sort_by("p")).run(seqs)
+    score = words.block(sums.sort_by("p"), row).run(seqs)
     return pa.table({"doc_id": pa.array(ids, mask=~there), "n_tokens": sizes, "n_known": unpack(row["known"], row["n"], np.int64), "base_score": unpack(row["base"], row["n"], np.float64), "score": score}, schema=SCORES)
 
 
 def added(table: DataFrame, n: int) -> np.ndarray:
     """The sums of the n numbers in rest over all blocks or buckets."""
-    row = table.where("p < 0").agg(*[F.coalesce(F.sum(F.col("rest")[i]), F.lit(0)) for i in range(n)]).first()
+    row = table.where("p = -1").agg(*[F.coalesce(F.sum(F.col("rest")[i]), F.lit(0)) for i in range(n)]).first()
     return np.array(row, np.int64)
 
 
@@ -395,18 +426,19 @@ def trained(docs: DataFrame, gain: float | None = None, states: int = STATES) ->
     texts = written(encoded.where("kind = 0").groupBy("blk").cogroup(table.where("p >= 0").groupBy("blk")).applyInArrow(lambda d, a: base_block(d, a, n_tokens, n_known), _ddl(TEXTS)), "texts", packed=True)
     drop_table(encoded)
     words, history = Words(np.full(states, 1 / states), first_steps(states), np.array(total) / UNIT + (n_known + 1) / states), []
-    sums = table.where("p >= 0")
+    tables, sums = (table,), table.where("p >= 0")
     while n_tokens:
-        now = words
-        last, table = table, written(texts.groupBy("blk").cogroup(sums.groupBy("blk")).applyInArrow(lambda d, a: learn_block(d, a, now), _ddl(SUMS)), "sums", packed=True)
-        drop_table(last)
-        *rest, n = added(table, 2 * states + states**2 + 2).tolist()
+        now, old = words, tables
+        learned = texts.groupBy("blk").cogroup(sums.groupBy("blk")).applyInArrow(lambda d, a: learn_block(d, a, now), _ddl(SUMS))
+        sent, own = written_apart(learned, "expected", "p >= 0", packed=True)
+        drop_table(*old)
+        *rest, n = added(own, 2 * states + states**2 + 2).tolist()
         totals, starts, steps, (score,) = np.split(np.array(rest) / UNIT, np.cumsum((states, states, states**2)))
         steps = steps.reshape(states, states) + STAY / states
         words = Words((starts + 1) / (starts + 1).sum(), steps / steps.sum(1, keepdims=True), totals + (n_known + 1) / states)
-        last, table = table, written(table.where("p >= 0").groupBy("p").applyInArrow(lambda t: sum_bucket(t, states), _ddl(SUMS)), "sums", packed=True)
-        drop_table(last)
-        sums = table
+        answers = written(sent.groupBy("p").applyInArrow(lambda t: sum_bucket(t, states), _ddl(SUMS)), "sums", packed=True)
+        drop_table(sent)
+        tables, sums = (answers, own), answers.unionByName(own.where("p = -2"))
         history.append(score / n)
         if len(history) > 1 and history[-1] - history[-2] < gain:
             break

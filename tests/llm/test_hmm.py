@@ -133,6 +133,24 @@ def test_one_state_is_the_base_score(spark):
 def test_counts_beyond_32_bits():
     import pyarrow as pa
 
-    rows = [dict(zip(H.BLOCKS.names, (1, b, 0, 1, np.array([7], np.uint64).tobytes(), H.pack(np.array([2**31 + 5])), b"", b""), strict=True)) for b in (0, 1)]
+    rows = [dict(zip(H.BLOCKS.names, (1, b, 0, 1, np.array([7], np.uint64).tobytes(), b"", H.pack(np.array([2**31 + 5])), b"", b""), strict=True)) for b in (0, 1)]
     got = H.start_bucket(pa.Table.from_pylist(rows, H.BLOCKS)).to_pylist()
     assert [H.unpack(r["counts"], 1, np.int64)[0] for r in got if r["p"] == 0] == [2**32 + 10] * 2
+
+
+def test_batches_are_bounded_whatever_the_texts(monkeypatch):
+    sizes, plain = [], H.Hmm._batch
+    monkeypatch.setattr(H.Hmm, "_batch", lambda self, seqs, *rest: sizes.append(sum(map(len, seqs))) or plain(self, seqs, *rest))
+    rng = np.random.default_rng(2)
+    m = H.Hmm.fresh(np.ones(30), 2)
+    got = m.run([rng.integers(0, 30, n) for n in [200_000] * 6 + [900_000] + [50] * 100])
+    assert np.isfinite(got).all() and sum(sizes) == 2_105_000 and max(sizes) <= H.BATCH_TOKENS + H.SEGMENT
+
+
+def test_tokens_and_sums_survive_packing():
+    rng = np.random.default_rng(3)
+    number = rng.zipf(1.3, 5000).clip(max=70_000).astype(np.int64) - 1
+    data, order = H.pack_tokens(number, 70_000)
+    assert (H.unpack_tokens(data, order, 5000, 70_000) == number).all()
+    sums = rng.integers(-(2**62), 2**62, (100, 8))
+    assert (H.unpack_sums(H.pack_sums(sums), 100, 8) == sums).all()
