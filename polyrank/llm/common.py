@@ -169,6 +169,16 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers(max(10, (n - 1).bit_length()))
 
 
+#: Bytes of text that a task of a grouped step takes, if the session's number of partitions would give it more.
+PART_BYTES = 256 << 20
+
+
+def dealt_by(df: DataFrame, key: str, text_bytes: int) -> DataFrame:
+    """df shuffled by key into as many partitions as its texts need, where the session's own number is smaller; grouping by key shuffles nothing further."""
+    n = -(-text_bytes // PART_BYTES)
+    return df.repartition(n, key) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def n_rows_bytes(df: DataFrame, text: str = "text") -> tuple[int, int]:
     """Rows and bytes of text, from one pass over that column."""
     r = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("b")).first()

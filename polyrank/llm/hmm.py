@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, drop_table, n_rows_bytes, pack, powers, unpack, written, written_apart
+from .common import dealt_by, documents, drop_table, n_rows_bytes, pack, powers, unpack, written, written_apart
 from .gsaca import _flat
 
 FOLD, HELD = 7, 2
@@ -260,13 +260,14 @@ def first_steps(states: int) -> np.ndarray:
     return step
 
 
-def encoded_blocks(docs: DataFrame) -> DataFrame:
-    """Rows of BLOCKS, written."""
+def encoded_blocks(docs: DataFrame) -> tuple[DataFrame, int]:
+    """Rows of BLOCKS, written, and the bytes of text in them."""
     _, total = n_rows_bytes(docs)
     blocks, buckets = max(1, -(-total // BLOCK_BYTES)), max(1, min(MOST_BUCKETS, -(-total // BUCKET_BYTES)))
     raw = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
     dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("blk"), F.col("doc_id").cast("long").alias("doc_id"), raw.alias("raw"))
-    return written(dealt.groupBy("blk").applyInArrow(lambda t: encode_block(t, buckets), _ddl(BLOCKS)), "encoded", packed=True)
+    blocks_ = dealt_by(dealt, "blk", total).groupBy("blk")
+    return written(blocks_.applyInArrow(lambda t: encode_block(t, buckets), _ddl(BLOCKS)), "encoded", packed=True), total
 
 
 def pack_sums(a: np.ndarray) -> bytes:
@@ -420,23 +421,24 @@ def added(table: DataFrame, n: int) -> np.ndarray:
 def trained(docs: DataFrame, gain: float | None = None, states: int = STATES) -> tuple[DataFrame, DataFrame, Words, int, list[float]]:
     """Texts (see TEXTS), their words' sums by block and bucket, the model, training tokens, and log10 likelihood a token before each round."""
     gain = GAIN if gain is None else gain
-    encoded = encoded_blocks(docs)
-    table = written(encoded.where("kind = 1").groupBy("p").applyInArrow(lambda t: start_bucket(t, states), _ddl(SUMS)), "sums", packed=True)
+    encoded, total_bytes = encoded_blocks(docs)
+    by = lambda df, key: dealt_by(df, key, total_bytes).groupBy(key)
+    table = written(by(encoded.where("kind = 1"), "p").applyInArrow(lambda t: start_bucket(t, states), _ddl(SUMS)), "sums", packed=True)
     n_tokens, n_known, *total = added(table, 2 + states).tolist()
-    texts = written(encoded.where("kind = 0").groupBy("blk").cogroup(table.where("p >= 0").groupBy("blk")).applyInArrow(lambda d, a: base_block(d, a, n_tokens, n_known), _ddl(TEXTS)), "texts", packed=True)
+    texts = written(by(encoded.where("kind = 0"), "blk").cogroup(table.where("p >= 0").groupBy("blk")).applyInArrow(lambda d, a: base_block(d, a, n_tokens, n_known), _ddl(TEXTS)), "texts", packed=True)
     drop_table(encoded)
     words, history = Words(np.full(states, 1 / states), first_steps(states), np.array(total) / UNIT + (n_known + 1) / states), []
     tables, sums = (table,), table.where("p >= 0")
     while n_tokens:
         now, old = words, tables
-        learned = texts.groupBy("blk").cogroup(sums.groupBy("blk")).applyInArrow(lambda d, a: learn_block(d, a, now), _ddl(SUMS))
+        learned = by(texts, "blk").cogroup(sums.groupBy("blk")).applyInArrow(lambda d, a: learn_block(d, a, now), _ddl(SUMS))
         sent, own = written_apart(learned, "expected", "p >= 0", packed=True)
         drop_table(*old)
         *rest, n = added(own, 2 * states + states**2 + 2).tolist()
         totals, starts, steps, (score,) = np.split(np.array(rest) / UNIT, np.cumsum((states, states, states**2)))
         steps = steps.reshape(states, states) + STAY / states
         words = Words((starts + 1) / (starts + 1).sum(), steps / steps.sum(1, keepdims=True), totals + (n_known + 1) / states)
-        answers = written(sent.groupBy("p").applyInArrow(lambda t: sum_bucket(t, states), _ddl(SUMS)), "sums", packed=True)
+        answers = written(by(sent, "p").applyInArrow(lambda t: sum_bucket(t, states), _ddl(SUMS)), "sums", packed=True)
         drop_table(sent)
         tables, sums = (answers, own), answers.unionByName(own.where("p = -2"))
         history.append(score / n)

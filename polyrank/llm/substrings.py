@@ -32,7 +32,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, drop_table, n_rows_bytes, pack, powers, unpack, written
+from .common import dealt_by, documents, drop_table, n_rows_bytes, pack, powers, unpack, written
 from .gsaca import _flat, suffix_arrays
 
 LENGTH, GRAM = 100, 24
@@ -422,20 +422,21 @@ def find_stretches(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     raw = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
     blk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))
     dealt = docs.select(blk.alias("blk"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), raw.alias("raw"), F.struct(*docs.columns).alias("row"))
-    by_block = dealt.drop("row").groupBy("blk")
+    by_block = dealt_by(dealt.drop("row"), "blk", total).groupBy("blk")
+    by_bucket_ = lambda df: dealt_by(df, "p", total).groupBy("p")
     keys = by_block.applyInArrow(lambda t: send_keys(t, buckets), _ddl(KEYS))
-    flags = written(keys.groupBy("p").applyInArrow(answer_keys, _ddl(FLAGS)), "key-flags", packed=True)
+    flags = written(by_bucket_(keys).applyInArrow(answer_keys, _ddl(FLAGS)), "key-flags", packed=True)
     if flags.where("hot > 0").limit(1).count():
         asked = by_block.cogroup(flags.groupBy("blk")).applyInArrow(lambda t, f: send_windows(t, f, buckets), _ddl(KEYS))
-        windows = written(asked.groupBy("p").applyInArrow(answer_keys, _ddl(FLAGS)), "window-flags", packed=True)
+        windows = written(by_bucket_(asked).applyInArrow(answer_keys, _ddl(FLAGS)), "window-flags", packed=True)
         both = flags.withColumn("hot", F.lit(0)).unionByName(windows.withColumn("hot", F.lit(1)))
         sent = by_block.cogroup(both.groupBy("blk")).applyInArrow(lambda t, f: send_runs(t, f.filter(pa.compute.equal(f.column("hot"), 0)), f.filter(pa.compute.equal(f.column("hot"), 1)), buckets), _ddl(RUNS))
     else:
         windows = None
         sent = by_block.cogroup(flags.groupBy("blk")).applyInArrow(lambda t, f: send_runs(t, f, None, buckets), _ddl(RUNS))
-    stretches = written(sent.groupBy("p").applyInArrow(find_repeats, _ddl(STRETCHES)), "stretches", packed=True)
+    stretches = written(by_bucket_(sent).applyInArrow(find_repeats, _ddl(STRETCHES)), "stretches", packed=True)
     drop_table(*(t for t in (flags, windows) if t is not None))
-    return dealt, stretches
+    return dealt_by(dealt, "blk", total), stretches
 
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:

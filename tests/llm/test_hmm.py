@@ -3,6 +3,7 @@ from collections import Counter
 from itertools import product
 
 import numpy as np
+from polyrank.llm import common
 from polyrank.llm import hmm as H
 
 from .cases import clashing, empty_documents, odd_documents, store
@@ -88,6 +89,7 @@ def test_scores_on_held_out_texts(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(H, "BLOCK_BYTES", 30_000)
     monkeypatch.setattr(H, "BUCKET_BYTES", 20_000)
     monkeypatch.setattr(H, "BATCH_TOKENS", 2_000)
+    monkeypatch.setattr(common, "PART_BYTES", 20_000)  # more partitions than the session's
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string")
     n, want = brute_base([(i, t.encode()) for i, t in rows])

@@ -2,7 +2,7 @@ import hashlib
 import random
 
 import pytest
-from polyrank.llm import substrings
+from polyrank.llm import common, substrings
 from pyspark.sql import functions as F
 
 from .cases import clashing, empty_documents, odd_documents, store
@@ -78,6 +78,7 @@ def test_hot_keys_equal_to_brute_force(spark, tmp_path, monkeypatch):
 def test_hot_keys_and_chunks_equal_to_brute_force(spark, tmp_path, monkeypatch):
     for name, n in (("BLOCK_BYTES", 20_000), ("BUCKET_BYTES", 10_000), ("HOT", 1), ("CHUNK", 997), ("BATCH", 3_000)):
         monkeypatch.setattr(substrings, name, n)
+    monkeypatch.setattr(common, "PART_BYTES", 5_000)  # more partitions than the session's
     compare(spark, spark.createDataFrame(list(enumerate(corpus(3))), "doc_id long, text string"), tmp_path)
 
 
