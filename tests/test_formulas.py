@@ -284,6 +284,17 @@ def test_readers(spark, tmp_path):
     assert (r.low, r.high, r.ok) == (0.0408, 0.0419, True) and r.mean == pytest.approx(0.04135)
 
 
+WIDE = "ATOM  {:5d}  CA  {} R{:4d}{}   {:8.3f}   6.134  -6.504  1.00  0.00           {}"
+
+
+def test_atom_numbers_wider_than_their_columns(spark):
+    wide = [WIDE.format(99999, "ALA", 9999, " ", 1.0, "C"), WIDE.format(100000, "GLY", 9999, "B", -2.0, "C"), WIDE.format(100001, "SER", 10000, " ", 3.0, "C"), WIDE.format(100002, "SER", 10000, " ", 3.0, "H"), WIDE.format(1234567, "LYS", 123456, "A", 4.0, "N"), WIDE.format(-10000, "LYS", -1000, " ", 5.0, "N")]
+    w = spark.createDataFrame([("s", n, x) for n, x in enumerate(wide)], "structure string, n int, value string")
+    got = sorted((r.serial, r.name, r.residue, r.chain, r.number, r.res, r.x, r.y, r.z, r.element) for r in readers.pdb_atoms(w).collect())
+    assert got == [(-10000, "CA", "LYS", "R", "-1000 ", 5, 5.0, 6.134, -6.504, "N"), (99999, "CA", "ALA", "R", "9999 ", 1, 1.0, 6.134, -6.504, "C"), (100000, "CA", "GLY", "R", "9999B", 2, -2.0, 6.134, -6.504, "C"), (100001, "CA", "SER", "R", "10000 ", 3, 3.0, 6.134, -6.504, "C"), (1234567, "CA", "LYS", "R", "123456A", 4, 4.0, 6.134, -6.504, "N")]
+    assert readers.pdb_problems(w, chains=1).count() == 0
+
+
 def test_writers(spark, tmp_path):
     writers.write_json(tmp_path / "x.json", {"b": float("nan"), "a": np.float64(1.5)})
     assert (tmp_path / "x.json").read_text() == '{\n  "a": 1.5,\n  "b": null\n}\n'
