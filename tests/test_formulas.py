@@ -295,6 +295,12 @@ def test_atom_numbers_wider_than_their_columns(spark):
     assert readers.pdb_problems(w, chains=1).count() == 0
 
 
+def test_sequence_of_wide_residue_numbers(spark):
+    lines = [WIDE.format(n, x, r, " ", 1.0, "C") for n, x, r in ((9, "ALA", 9999), (99999, "GLY", 10000), (100000, "SER", 10001))]
+    w = spark.createDataFrame([("s", n, x) for n, x in enumerate(lines)], "structure string, n int, value string")
+    assert [tuple(r) for r in readers.chain_sequences(readers.pdb_atoms(w)).collect()] == [("s", "R", "AGS")]
+
+
 def test_writers(spark, tmp_path):
     writers.write_json(tmp_path / "x.json", {"b": float("nan"), "a": np.float64(1.5)})
     assert (tmp_path / "x.json").read_text() == '{\n  "a": 1.5,\n  "b": null\n}\n'
