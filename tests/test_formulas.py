@@ -258,6 +258,30 @@ def test_bootstrap_weights(spark):
         assert [r.s for r in w.groupBy("b").agg(F.sum("w").alias("s")).collect()] == [30] * 15
 
 
+def test_packed_bootstrap_equals_joined_weights(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(int(g), float(rng.integers(0, 12)) if rng.random() > 0.05 else None, bool(rng.random() < 0.4)) for g in rng.integers(0, 40, 700)]
+    d = spark.createDataFrame(rows, "g int, v double, y boolean")
+    for name, value in {"ROWS": 100, "HELD": 200, "LEAST": 3}.items():
+        monkeypatch.setattr(bootstrap, name, value)
+    packed, joined = bootstrap.packed_weights(d, "g", 23, 16), bootstrap.weights(d, "g", 23)
+    for a, b, c in ((bootstrap.packed_auc, bootstrap.weighted_auc, "auc"), (bootstrap.packed_brier, bootstrap.weighted_brier, "brier")):
+        got, want = ({r.b: r[c] for r in f(d, w, "y", "v", "g").collect()} for f, w in ((a, packed), (b, joined)))
+        assert len(want) == 23 and got == pytest.approx(want, rel=1e-12)
+
+
+def test_rank_sums_over_steps():
+    rng = np.random.default_rng(4)
+    i, s, p, q, w = rng.integers(0, 9, 60), rng.integers(0, 5, 60).astype(float), rng.integers(0, 3, 60), rng.integers(0, 3, 60), rng.integers(0, 4, (9, 7)).astype(np.uint8)
+    s[:7] = np.nan
+    key = np.where(np.isnan(s), 99, s)
+    above = (key[:, None] > key) + (key[:, None] == key) / 2
+    wp, wn = p[:, None] * w[i], q[:, None] * w[i]
+    for step in (1, 4, 100):
+        pos, neg, inner = bootstrap.rank_sums(i, s, p, q, w, step)
+        assert (pos == wp.sum(0)).all() and (neg == wn.sum(0)).all() and np.allclose(inner, (wp * (above @ wn)).sum(0))
+
+
 def test_folds_and_spread():
     f = kernels.balanced_folds([(i, "ab"[i % 3 == 0]) for i in range(50)], 5, "s")
     sizes = [sum(v == k for v in f.values()) for k in range(5)]
