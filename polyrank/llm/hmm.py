@@ -192,12 +192,14 @@ class Hmm:
         for i in range(0, len(order), n):
             at = order[i : i + n].tolist()
             alive, off, flat = self._layout([parts[j] for j in at])
-            b, step = scaled[flat], self.step.astype(scaled.dtype)
+            b, step = scaled.take(flat, 0), self.step.astype(scaled.dtype)
             x = np.zeros((len(at), k, k), b.dtype)
             x[:, np.arange(k), np.arange(k)] = b[: len(at)]
+            moved = np.empty_like(x)
             for t, m in enumerate(alive.tolist()):
                 if t:
-                    x[:m] = (x[:m].reshape(-1, k) @ step).reshape(m, k, k) * b[off[t] : off[t] + m, None]
+                    np.dot(x[:m].reshape(-1, k), step, out=moved[:m].reshape(-1, k))
+                    np.multiply(moved[:m], b[off[t] : off[t] + m, None], out=x[:m])
                 if not t % EVERY:
                     x[:m] /= x[:m].sum((1, 2))[:, None, None]
             matrix |= dict(zip(at, x, strict=True))
@@ -214,7 +216,7 @@ class Hmm:
         """As run, for segments in descending length. before: the start's probabilities of a first segment, else the forward vector of the token before."""
         alive, off, flat = self._layout(seqs)
         n, k, lengths = len(seqs), len(self.start), np.array([len(s) for s in seqs])
-        b, step = scaled[flat], self.step.astype(scaled.dtype)
+        b, step = scaled.take(flat, 0), self.step.astype(scaled.dtype)
         a, scale, logs = np.empty_like(b), np.ones(len(flat), b.dtype), np.zeros(n)
         ones = np.ones(k, b.dtype)
         np.multiply(np.where(first[:, None], before, before @ step), b[:n], out=a[:n])
@@ -228,7 +230,7 @@ class Hmm:
                 scale[off[t] : off[t] + m] = c
                 x *= (1 / c)[:, None]
                 logs[:m] += np.log10(c)
-        score = logs + np.log10(a[off[lengths - 1] + np.arange(n)] @ ones) + np.add.reduceat(largest[np.concatenate(seqs)], np.cumsum(lengths) - lengths)
+        score = logs + np.log10(a[off[lengths - 1] + np.arange(n)] @ ones) + np.add.reduceat(largest.take(np.concatenate(seqs)), np.cumsum(lengths) - lengths)
         if not learn:
             return (score,)
         turned, later = np.ascontiguousarray(step.T), 0
@@ -248,8 +250,8 @@ class Hmm:
         posterior *= (1 / total)[:, None]
         total *= scale
         b *= (1 / total)[:, None]
-        steps = a[_flat(off[:-2], alive[1:])].T @ b[n:] + before[~first].T @ b[:n][~first]
-        emits = np.stack([np.bincount(flat, posterior[:, s], self.emit.shape[1]) for s in range(k)])
+        steps = a.take(_flat(off[:-2], alive[1:]), 0).T @ b[n:] + before[~first].T @ b[:n][~first]
+        emits = np.stack([np.bincount(flat, p, self.emit.shape[1]) for p in posterior.T.astype(np.float64, "C")])
         return score, posterior[:n][first].sum(0), steps, emits
 
 
@@ -431,7 +433,7 @@ def trained(docs: DataFrame, gain: float | None = None, states: int = STATES) ->
     tables, sums = (table,), table.where("p >= 0")
     while n_tokens:
         now, old = words, tables
-        learned = by(texts, "blk").cogroup(sums.groupBy("blk")).applyInArrow(lambda d, a: learn_block(d, a, now), _ddl(SUMS))
+        learned = by(texts.drop("known", "base"), "blk").cogroup(sums.groupBy("blk")).applyInArrow(lambda d, a: learn_block(d, a, now), _ddl(SUMS))
         sent, own = written_apart(learned, "expected", "p >= 0", packed=True)
         drop_table(*old)
         *rest, n = added(own, 2 * states + states**2 + 2).tolist()
