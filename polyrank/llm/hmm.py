@@ -17,7 +17,7 @@ A text of more than SEGMENT tokens is cut. The matrix of a segment's steps gives
 backward vector at its end from those of its neighbours, exactly; the segments then run beside those of other texts, so
 that neither the number of steps nor the memory of a batch depends on the longest text.
 Scores are from the scaled forward recursion in double precision; training uses single precision, with each word's
-emissions scaled by their largest, and adds up in whole numbers.
+emissions scaled by their sum, and adds up in whole numbers.
 """
 
 from __future__ import annotations
@@ -45,7 +45,9 @@ GAIN = 1e-3
 STAY = 5.0
 BLOCK_BYTES, BUCKET_BYTES, MOST_BUCKETS = 8 << 20, 8 << 20, 65_536
 #: Tokens that a task runs through together, those of a segment, and steps from one scaling to the next.
-BATCH_TOKENS, SEGMENT, EVERY = 300_000, 4096, 8
+BATCH_TOKENS, SEGMENT, EVERY = 450_000, 4096, 8
+#: Tokens whose vectors stay in a core's cache over several steps.
+NEAR = 4096
 #: Bytes that are cut into words together.
 PIECE = 1 << 20
 END = b""
@@ -111,12 +113,29 @@ def pack_tokens(number: np.ndarray, words: int) -> tuple[bytes, bytes]:
     order = np.argsort(-np.bincount(number, minlength=words), kind="stable").astype(np.int32)
     rank = np.empty(words, np.int32)
     rank[order] = np.arange(words, dtype=np.int32)
-    return pack(rank[number].view(np.uint8).reshape(-1, 4).T), pack(order)
+    return pack_planes(rank[number]), pack_rising(order)
 
 
 def unpack_tokens(data: bytes, order: bytes, n: int, words: int) -> np.ndarray:
-    rank = np.ascontiguousarray(unpack(data, 4 * n, np.uint8).reshape(4, -1).T).view(np.int32)[:, 0]
-    return unpack(order, words, np.int32)[rank]
+    return unpack_rising(order, words)[unpack_planes(data, n)]
+
+
+def pack_planes(a: np.ndarray) -> bytes:
+    """32-bit numbers, least bytes of all first."""
+    return pack(np.ascontiguousarray(a, np.int32).view(np.uint8).reshape(-1, 4).T)
+
+
+def unpack_planes(b: bytes, n: int) -> np.ndarray:
+    return np.ascontiguousarray(unpack(b, 4 * n, np.uint8).reshape(4, -1).T).view(np.int32)[:, 0]
+
+
+def pack_rising(a: np.ndarray) -> bytes:
+    """32-bit numbers of which long runs rise, as steps from one to the next: most are small."""
+    return pack_planes(np.diff(a.astype(np.int32), prepend=np.int32(0)))
+
+
+def unpack_rising(b: bytes, n: int) -> np.ndarray:
+    return np.cumsum(unpack_planes(b, n), dtype=np.int32)
 
 
 def encode_block(table: pa.Table, buckets: int) -> pa.Table:
@@ -157,8 +176,8 @@ class Hmm:
         owner = np.repeat(np.arange(len(seqs)), [-(-len(s) // SEGMENT) for s in seqs])
         first = np.diff(owner, prepend=-1) > 0
         before, end = np.tile(self.start.astype(kind), (len(parts), 1)), np.ones((len(parts), k), kind)
-        largest = self.emit.max(0)
-        scaled, logs = np.ascontiguousarray((self.emit / largest).T, kind), np.log10(largest)
+        sums = self.emit.T @ np.ones(k)
+        scaled, logs = np.ascontiguousarray((self.emit / sums).T, kind), np.log10(sums)
         if len(parts) > len(seqs):
             self._ends(parts, owner, first, before, end, scaled)
         order = np.argsort([-len(s) for s in parts], kind="stable")
@@ -166,22 +185,23 @@ class Hmm:
         score = np.zeros(len(seqs))
         starts, steps, emits = np.zeros(k), np.zeros((k, k)), np.zeros((k, self.emit.shape[1]))
         for at in np.split(order, np.flatnonzero(np.diff(np.cumsum(size) // BATCH_TOKENS)) + 1):
-            got, *counts = self._batch([parts[i] for i in at], before[at], first[at], end[at], learn, scaled, logs)
+            got, *counts = self._batch([parts[i] for i in at], before[at], first[at], end[at], emits if learn else None, scaled, logs)
             np.add.at(score, owner[at], got)
             if learn:
                 starts += counts[0]
                 steps += counts[1]
-                emits += counts[2]
         return (score, starts, steps * self.step, emits) if learn else score
 
-    def _layout(self, seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For sequences in descending length: how many are longer than t, where step t begins, and the tokens at step 0, at step 1, ..."""
+    def _layout(self, seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For sequences in descending length: how many are longer than t, where step t begins, the tokens at step 0, at step 1, ..., and those of one sequence after the other."""
         lengths = np.array([len(s) for s in seqs])
         alive = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
         off = np.concatenate(([0], np.cumsum(alive)))
-        flat = np.empty(off[-1], np.int64)
-        flat[off[_flat(np.zeros(len(seqs), np.int64), lengths)] + np.repeat(np.arange(len(seqs)), lengths)] = np.concatenate(seqs)
-        return alive, off, flat
+        flat, words = np.empty(off[-1], np.int64), np.concatenate(seqs, dtype=np.int64)
+        place = off.take(_flat(np.zeros(len(seqs), np.int64), lengths))
+        place += np.repeat(np.arange(len(seqs)), lengths)
+        flat[place] = words
+        return alive, off, flat, words
 
     def _ends(self, parts: list[np.ndarray], owner: np.ndarray, first: np.ndarray, before: np.ndarray, end: np.ndarray, scaled: np.ndarray) -> None:
         """Fill in, for segments of cut sequences: forward vectors of the token before, and backward vectors of the last token."""
@@ -191,18 +211,22 @@ class Hmm:
         n = max(1, BATCH_TOKENS // SEGMENT)
         for i in range(0, len(order), n):
             at = order[i : i + n].tolist()
-            alive, off, flat = self._layout([parts[j] for j in at])
+            alive, off, flat, _ = self._layout([parts[j] for j in at])
             b, step = scaled.take(flat, 0), self.step.astype(scaled.dtype)
-            x = np.zeros((len(at), k, k), b.dtype)
-            x[:, np.arange(k), np.arange(k)] = b[: len(at)]
-            moved = np.empty_like(x)
+            x = np.zeros((k, len(at), k), b.dtype)  # first state, segment, last state
+            x[np.arange(k), :, np.arange(k)] = b[: len(at)].T
+            moved, off = np.empty_like(x), off.tolist()
             for t, m in enumerate(alive.tolist()):
+                if m < x.shape[1]:
+                    matrix |= dict(zip(at[m:], x[:, m:].swapaxes(0, 1), strict=False))
+                    at, x = at[:m], np.ascontiguousarray(x[:, :m])
+                    moved = np.empty_like(x)
                 if t:
-                    np.dot(x[:m].reshape(-1, k), step, out=moved[:m].reshape(-1, k))
-                    np.multiply(moved[:m], b[off[t] : off[t] + m, None], out=x[:m])
+                    np.dot(x.reshape(-1, k), step, out=moved.reshape(-1, k))
+                    np.multiply(moved, b[off[t] : off[t] + m], out=x)
                 if not t % EVERY:
-                    x[:m] /= x[:m].sum((1, 2))[:, None, None]
-            matrix |= dict(zip(at, x, strict=True))
+                    x /= x.sum((0, 2))[:, None]
+            matrix |= dict(zip(at, x.swapaxes(0, 1), strict=True))
         for i in cut.tolist():
             if not first[i]:
                 v = (before[i - 1] if first[i - 1] else before[i - 1] @ self.step) @ matrix[i - 1]
@@ -212,47 +236,58 @@ class Hmm:
                 v = self.step @ (matrix[i] @ end[i])
                 end[i - 1] = v / v.sum()
 
-    def _batch(self, seqs: list[np.ndarray], before: np.ndarray, first: np.ndarray, end: np.ndarray, learn: bool, scaled: np.ndarray, largest: np.ndarray):
-        """As run, for segments in descending length. before: the start's probabilities of a first segment, else the forward vector of the token before."""
-        alive, off, flat = self._layout(seqs)
+    def _batch(self, seqs: list[np.ndarray], before: np.ndarray, first: np.ndarray, end: np.ndarray, emits: np.ndarray | None, scaled: np.ndarray, sums: np.ndarray):
+        """As run, for segments in descending length; expected emissions, if wanted, are added to emits. before: the start's probabilities of a first segment, else the forward vector of the token before."""
+        alive, off, flat, words = self._layout(seqs)
         n, k, lengths = len(seqs), len(self.start), np.array([len(s) for s in seqs])
         b, step = scaled.take(flat, 0), self.step.astype(scaled.dtype)
         a, scale, logs = np.empty_like(b), np.ones(len(flat), b.dtype), np.zeros(n)
         ones = np.ones(k, b.dtype)
         np.multiply(np.where(first[:, None], before, before @ step), b[:n], out=a[:n])
-        for t, m in enumerate(alive.tolist()):
-            x = a[off[t] : off[t] + m]
+        alive, at, x = alive.tolist(), off.tolist(), a
+        for t, m in enumerate(alive):
+            last, x = x, a[at[t] : at[t + 1]]
             if t:
-                np.dot(a[off[t - 1] : off[t - 1] + m], step, out=x)
-                x *= b[off[t] : off[t] + m]
+                np.dot(last[:m], step, out=x)
+                x *= b[at[t] : at[t + 1]]
             if not t % EVERY:
                 c = x @ ones
-                scale[off[t] : off[t] + m] = c
+                scale[at[t] : at[t + 1]] = c
                 x *= (1 / c)[:, None]
                 logs[:m] += np.log10(c)
-        score = logs + np.log10(a[off[lengths - 1] + np.arange(n)] @ ones) + np.add.reduceat(largest.take(np.concatenate(seqs)), np.cumsum(lengths) - lengths)
-        if not learn:
+        score = logs + np.log10(a[off[lengths - 1] + np.arange(n)] @ ones) + np.add.reduceat(sums.take(words), np.cumsum(lengths) - lengths)
+        if emits is None:
             return (score,)
         turned, later = np.ascontiguousarray(step.T), 0
         posterior = np.empty_like(a)
         for t in range(len(alive) - 1, -1, -1):
             m = alive[t]
-            x = posterior[off[t] : off[t] + m]
-            x[later:] = end[later:m]
+            x = posterior[at[t] : at[t + 1]]
+            if later < m:
+                x[later:] = end[later:m]
             if later:
-                np.dot(b[off[t + 1] : off[t + 1] + later], turned, out=x[:later])
+                np.dot(follows, turned, out=x[:later])
             if not t % EVERY:
                 x *= (1 / (x @ ones))[:, None]
-            b[off[t] : off[t] + m] *= x  # emission and what follows
-            x *= a[off[t] : off[t] + m]
+            follows = b[at[t] : at[t + 1]]
+            follows *= x  # emission and what follows
             later = m
-        total = posterior @ ones
-        posterior *= (1 / total)[:, None]
-        total *= scale
-        b *= (1 / total)[:, None]
-        steps = a.take(_flat(off[:-2], alive[1:]), 0).T @ b[n:] + before[~first].T @ b[:n][~first]
-        emits = np.stack([np.bincount(flat, p, self.emit.shape[1]) for p in posterior.T.astype(np.float64, "C")])
-        return score, posterior[:n][first].sum(0), steps, emits
+        for i in range(0, len(flat), NEAR):
+            x, follows = posterior[i : i + NEAR], b[i : i + NEAR]
+            x *= a[i : i + NEAR]
+            total = x @ ones
+            x *= (1 / total)[:, None]
+            total *= scale[i : i + NEAR]
+            follows *= (1 / total)[:, None]
+        goes_on = np.ones(len(flat), bool)
+        goes_on[off[lengths - 1] + np.arange(n)] = False
+        goes_on = np.flatnonzero(goes_on)
+        steps = before[~first].T @ b[:n][~first]
+        for i in range(0, len(goes_on), NEAR):
+            steps = steps + a.take(goes_on[i : i + NEAR], 0).T @ b[n + i : n + i + NEAR]
+        for state, e in enumerate(emits):
+            e += np.bincount(flat, posterior[:, state], len(e))
+        return score, posterior[:n][first].sum(0), steps
 
 
 def first_steps(states: int) -> np.ndarray:
@@ -274,11 +309,20 @@ def encoded_blocks(docs: DataFrame) -> tuple[DataFrame, int]:
 
 def pack_sums(a: np.ndarray) -> bytes:
     """64-bit sums (word, state), least bytes of all first: the upper ones are mostly 0."""
-    return pack(np.ascontiguousarray(a, np.int64).view(np.uint8).reshape(-1, 8).T)
+    a = np.ascontiguousarray(a, np.int64).ravel()
+    planes = np.zeros((8, len(a)), np.uint8)
+    wide = np.flatnonzero(a >> 32)
+    planes[:4] = a.astype(np.uint32).view(np.uint8).reshape(-1, 4).T
+    planes[4:, wide] = (a[wide] >> 32).astype(np.int32).view(np.uint8).reshape(-1, 4).T
+    return pack(planes) if len(a) else b""
 
 
 def unpack_sums(b: bytes, n: int, states: int) -> np.ndarray:
-    return np.ascontiguousarray(unpack(b, 8 * n * states, np.uint8).reshape(8, -1).T).view(np.int64).reshape(n, states)
+    planes = unpack(b, 8 * n * states, np.uint8).reshape(8, -1)
+    out = np.ascontiguousarray(planes[:4].T).view(np.uint32)[:, 0].astype(np.int64)
+    wide = np.flatnonzero(np.bitwise_or.reduce(planes[4:]))
+    out[wide] |= np.ascontiguousarray(planes[4:, wide].T).view(np.int32)[:, 0].astype(np.int64) << 32
+    return out.reshape(n, states)
 
 
 def first_sums(blk: int, p: int, ids: np.ndarray, place: np.ndarray, counts: np.ndarray, states: int = STATES, seed: int = SEED) -> np.ndarray:
@@ -291,16 +335,14 @@ def first_sums(blk: int, p: int, ids: np.ndarray, place: np.ndarray, counts: np.
 
 
 def block_sums(table: pa.Table, text: dict, states: int) -> np.ndarray:
-    """The sums of all words of a block, from its rows of SUMS (sorted by p) and its row of TEXTS."""
-    rows = table.to_pylist()
+    """The sums of all words of a block by rank, from its rows of SUMS (sorted by p) and its row of TEXTS."""
+    rows, order = table.to_pylist(), unpack_rising(text["order"], text["words"])
     if any(r["counts"] for r in rows):  # before the first round
-        return np.concatenate([first_sums(r["blk"], r["p"], unpack(r["ids"], r["n"], np.int32), np.arange(r["n"]), unpack(r["counts"], r["n"], np.int64), states) for r in rows])
+        return np.concatenate([first_sums(r["blk"], r["p"], unpack_rising(r["ids"], r["n"]), np.arange(r["n"]), unpack(r["counts"], r["n"], np.int64), states) for r in rows])[order]
     shared = unpack(text["shared"], text["words"], np.uint8).astype(bool)
-    out = np.empty((text["words"], states), np.int64)
-    for mine, ps in ((shared, [r for r in rows if r["p"] >= 0]), (~shared, [r for r in rows if r["p"] == -2])):
-        if ps:
-            out[mine] = np.concatenate([unpack_sums(r["data"], r["n"], states) for r in ps])
-    return out
+    place = np.empty(len(shared), np.int32)
+    place[np.concatenate((np.flatnonzero(~shared), np.flatnonzero(shared)))] = np.arange(len(shared))
+    return np.concatenate([unpack_sums(r["data"], r["n"], states) for r in rows]).take(place[order], 0)  # p of the block's own words is -2, thus first
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -327,14 +369,14 @@ def start_bucket(table: pa.Table, states: int = STATES) -> pa.Table:
         ids, counts = number[at], total[at]
         alone = np.flatnonzero(ids < 0)
         sums += first_sums(blk, p, ids[alone], alone, counts[alone], states).sum(0)
-        rows.append((blk, p, len(at), pack(ids), b"", pack(counts), None))
+        rows.append((blk, p, len(at), pack_rising(ids), b"", pack(counts), None))
     return _table([*rows, (-1, -1, 0, b"", b"", b"", [int(total.sum()), int((total > 0).sum()), *sums.tolist()])], SUMS)
 
 
 def sum_bucket(table: pa.Table, states: int = STATES) -> pa.Table:
     """For each block its words' sums over what all blocks expect."""
     rows = table.sort_by("blk").to_pylist()
-    ids = [unpack(r["ids"], r["n"], np.int32) for r in rows]
+    ids = [unpack_rising(r["ids"], r["n"]) for r in rows]
     flat = np.concatenate(ids)
     sums = np.zeros((flat.max() + 1, states), np.int64)
     for at, r in zip(ids, rows, strict=True):
@@ -351,7 +393,7 @@ def base_block(docs: pa.Table, sums: pa.Table, n_tokens: int, n_known: int) -> p
     base = np.log10((count + 1) / (n_tokens + n_known + 1))
     sizes = unpack(row["sizes"], row["n"], np.int64)
     at = unpack_tokens(row["data"], row["order"], int(sizes.sum()), len(count))
-    ids = np.concatenate([unpack(b, k, np.int32) for b, k in zip(sums.column("ids").to_pylist(), sums.column("n").to_pylist(), strict=True)])
+    ids = np.concatenate([unpack_rising(b, k) for b, k in zip(sums.column("ids").to_pylist(), sums.column("n").to_pylist(), strict=True)])
     own = np.split(base[at], np.cumsum(sizes)[:-1])
     known = np.add.reduceat((count[at] > 0).astype(np.int64), np.cumsum(sizes) - sizes)
     return _table([(row["blk"], row["n"], len(count), row["extra"], row["mask"], row["sizes"], pack(known), pack(np.array([math.fsum(x) for x in own])), row["data"], row["order"], pack((ids >= 0).astype(np.uint8)))], TEXTS)
@@ -366,18 +408,21 @@ class Words:
     totals: np.ndarray
 
     def block(self, sums: pa.Table, text: dict) -> Hmm:
-        """The model of a block's words; sums are sorted by p."""
+        """The model of a block's words by rank; sums are sorted by p."""
         states = len(self.totals)
-        emit = (block_sums(sums, text, states) / UNIT + 1 / states) / self.totals
+        emit = block_sums(sums, text, states) / UNIT
+        emit += 1 / states
+        emit /= self.totals
         return Hmm(self.start, self.step, emit.T)
 
 
 def _texts(docs: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray], dict]:
-    """A block's ids, which of them there are, tokens of each document, their word numbers, and the row itself."""
+    """A block's ids, which of them there are, tokens of each document, the ranks of their words (frequent ones are side by side in memory), and the row itself."""
     row = docs.to_pylist()[0]
     sizes = unpack(row["sizes"], row["n"], np.int64)
-    words = unpack_tokens(row["data"], row["order"], int(sizes.sum()), row["words"])
-    return unpack(row["ids"], row["n"], np.int64), unpack(row["mask"], row["n"], np.uint8).astype(bool), sizes, np.split(words, np.cumsum(sizes)[:-1]), row
+    ends = np.cumsum(sizes).tolist()
+    ranks = unpack_planes(row["data"], ends[-1])
+    return unpack(row["ids"], row["n"], np.int64), unpack(row["mask"], row["n"], np.uint8).astype(bool), sizes, [ranks[i:j] for i, j in zip([0, *ends], ends, strict=False)], row
 
 
 def learn_block(docs: pa.Table, sums: pa.Table, words: Words) -> pa.Table:
@@ -391,16 +436,17 @@ def learn_block(docs: pa.Table, sums: pa.Table, words: Words) -> pa.Table:
     parts, rest = np.zeros((hmm.emit.shape[1], states), np.int64), np.zeros(2 * states + states**2 + 2, np.int64)
     if seqs:
         score, starts, steps, got = hmm.run(seqs, learn=True, kind=np.float32)
-        parts = np.rint(got.T * UNIT).astype(np.int64)
+        got *= UNIT
+        parts[unpack_rising(row["order"], row["words"])] = np.rint(got, out=got).T
         rest = np.concatenate((parts.sum(0), np.rint(np.concatenate((starts, steps.ravel(), (score.sum(),))) * UNIT).astype(np.int64), (sum(map(len, seqs)),)))
     shared = unpack(row["shared"], row["words"], np.uint8).astype(bool)
     ours, rows, at = parts[shared], [], 0
     for r in sums.to_pylist():
         if r["p"] >= 0:
-            numbers = unpack(r["ids"], r["n"], np.int32)
+            numbers = unpack_rising(r["ids"], r["n"])
             n = int((numbers >= 0).sum())
             if n:
-                rows.append((row["blk"], r["p"], n, pack(numbers[numbers >= 0]) if n < r["n"] else r["ids"], pack_sums(ours[at : at + n]), b"", None))
+                rows.append((row["blk"], r["p"], n, pack_rising(numbers[numbers >= 0]) if n < r["n"] else r["ids"], pack_sums(ours[at : at + n]), b"", None))
             at += n
     mine = parts[~shared]
     return _table([*rows, (row["blk"], -2, len(mine), b"", pack_sums(mine), b"", None), (row["blk"], -1, 0, b"", b"", b"", rest.tolist())], SUMS)

@@ -156,3 +156,25 @@ def test_tokens_and_sums_survive_packing():
     assert (H.unpack_tokens(data, order, 5000, 70_000) == number).all()
     sums = rng.integers(-(2**62), 2**62, (100, 8))
     assert (H.unpack_sums(H.pack_sums(sums), 100, 8) == sums).all()
+
+
+def test_numbers_that_rise_take_about_a_byte_or_less():
+    rng = np.random.default_rng(4)
+    numbers = np.flatnonzero(rng.random(400_000) < 0.4).astype(np.int32)
+    packed = H.pack_rising(numbers)
+    assert (H.unpack_rising(packed, len(numbers)) == numbers).all() and len(packed) < 0.5 * len(numbers)
+    for odd in (np.array([], np.int32), np.array([-1, 2**31 - 1, -(2**31), 0, -1], np.int32), rng.permutation(1000).astype(np.int32)):
+        assert (H.unpack_rising(H.pack_rising(odd), len(odd)) == odd).all()
+    number = np.minimum(rng.zipf(1.2, 300_000), 200_000) - 1  # most words occur once
+    _, number = np.unique(number, return_inverse=True)
+    data, order = H.pack_tokens(number, number.max() + 1)
+    assert (H.unpack_tokens(data, order, len(number), number.max() + 1) == number).all() and len(order) < number.max() + 1
+
+
+def test_sums_of_a_block_are_those_of_its_words_by_rank():
+    """A shared word (bucket 0, number 0), one of the block's own, a shared one (bucket 1, number 5), after the first round."""
+    wide = np.array([[2**40 + 3, 7], [0, 2**33]])
+    row = lambda p, n, ids, sums: (0, p, n, ids, H.pack_sums(sums), b"", None)
+    table = H._table([row(-2, 1, b"", np.array([[5, 6]])), row(0, 1, H.pack_rising(np.array([0])), wide[:1]), row(1, 1, H.pack_rising(np.array([5])), wide[1:])], H.SUMS)
+    text = {"words": 3, "order": H.pack_rising(np.array([2, 0, 1], np.int32)), "shared": H.pack(np.array([1, 0, 1], np.uint8))}
+    assert H.block_sums(table, text, 2).tolist() == [wide[1].tolist(), wide[0].tolist(), [5, 6]]
