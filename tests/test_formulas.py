@@ -270,6 +270,34 @@ def test_packed_bootstrap_equals_joined_weights(spark, monkeypatch):
         assert len(want) == 23 and got == pytest.approx(want, rel=1e-12)
 
 
+def test_metric_difference_has_all_three_metrics(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    share = lambda: float(rng.integers(0, 12)) / 12 if rng.random() > 0.05 else None
+    rows = [(int(g), share(), float(rng.integers(0, 30)) / 30, bool(rng.random() < 0.4)) for g in rng.integers(0, 40, 700)]
+    d = spark.createDataFrame(rows, "g int, a double, b double, y boolean")
+    for name, value in {"ROWS": 100, "HELD": 200, "LEAST": 3, "SUMMED": 2}.items():
+        monkeypatch.setattr(bootstrap, name, value)
+
+    def metrics(sample, c):
+        known = [r for r in sample if r[c] is not None]
+        pos, neg = ([r[c] for r in known if r[3] == y] for y in (True, False))
+        auc = sum((p > q) + (p == q) / 2 for p in pos for q in neg) / (len(pos) * len(neg))
+        ap = sum(sum(q >= p for q in pos) / sum(r[c] >= p for r in known) for p in pos) / len(pos)
+        return np.array([auc, ap, sum((r[3] - r[c]) ** 2 for r in known) / len(sample)])
+
+    by = {g: [r for r in rows if r[0] == g] for g in range(40)}
+    draws = [[r for g, n in enumerate(bootstrap.drawn(b, 40)) for r in by[g] * int(n)] for b in range(12)]
+    reps = np.array([metrics(x, 1) - metrics(x, 2) for x in draws])
+    got = {r.metric: r for r in bootstrap.metric_difference(d, "y", "a", "b", "g", 12).collect()}
+    assert set(got) == {"auc", "ap", "brier"}
+    for k, m in enumerate(("auc", "ap", "brier")):
+        assert [got[m].low, got[m].high] == pytest.approx(list(np.quantile(reps[:, k], [0.025, 0.975])), rel=1e-9) and got[m].replicates == 12
+    ranks = bootstrap.packed_ranks(d, bootstrap.packed_weights(d, "g", 12, 16), "y", "a", "g").orderBy("b").collect()
+    assert [x for r in ranks for x in (r.auc, r.ap)] == pytest.approx([x for s in draws for x in metrics(s, 1)[:2]], rel=1e-9)
+    whole = metrics(rows, 1) - metrics(rows, 2)
+    assert [got[m].delta for m in ("auc", "ap", "brier")] == pytest.approx(list(whole), rel=1e-9)
+
+
 def test_rank_sums_over_steps():
     rng = np.random.default_rng(4)
     i, s, p, q, w = rng.integers(0, 9, 60), rng.integers(0, 5, 60).astype(float), rng.integers(0, 3, 60), rng.integers(0, 3, 60), rng.integers(0, 4, (9, 7)).astype(np.uint8)
